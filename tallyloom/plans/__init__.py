@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "metrics")
+MODULES = ("scoring", "metrics", "health", "bench")
 
 
 def load_all():

@@ -20,8 +20,8 @@ DIALECT = {
     r"~epoch\((\w+)\)": (r"unix_seconds(CAST(\1 AS TIMESTAMP))", r"CAST(floor(epoch(\1)) AS BIGINT)"),
     r"~el\((\w+), *(\d+)\)": (r"element_at(\1, \2)", r"list_extract(\1, \2)"),
     r"~explode\(([^()]*)\)": (r"explode(array(\1))", r"unnest([\1])"),
-    r"~array\(([^()]*)\)": (r"array(\1)", r"[\1]"),
-    r"~sha\(([^()]*)\)": (r"sha2(\1, 256)", r"sha256(\1)"),
+    r"~array\(((?:[^()]|\([^()]*\))*)\)": (r"array(\1)", r"[\1]"),
+    r"~sha\(((?:[^()]|\([^()]*\))*)\)": (r"sha2(\1, 256)", r"sha256(\1)"),
 }
 
 

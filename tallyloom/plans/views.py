@@ -172,7 +172,7 @@ FROM (SELECT doc_id, text, meta, path,
              CASE WHEN doc_id % 6 = 3 THEN 'no evidence kept'
                   ELSE '## Evidence' || chr(10) || 'VALIDATE-OK ' || substr(~sha(meta || 'pack-salt-1'), 1, 12) || chr(10) || ~sha(meta) || chr(10) END AS report
       FROM (SELECT doc_id, text,
-                   'Name: nanoeuler' || chr(10) || 'Version: ' || CASE WHEN doc_id % 5 = 0 THEN '2.5-dev' ELSE '2.4.1' END || chr(10)
+                   'Name: samplepack' || chr(10) || 'Version: ' || CASE WHEN doc_id % 5 = 0 THEN '2.5-dev' ELSE '2.4.1' END || chr(10)
                    || CASE WHEN doc_id % 7 = 0 THEN chr(10) ELSE '' END || 'License: BSD-2-Clause' || chr(10)
                    || 'Summary: ' || CASE doc_id % 4 WHEN 0 THEN 'Solver for Euler equations'
                         WHEN 1 THEN 'Character-level Transformer' ELSE lang || ' language model, ' || CAST(n_chars AS STRING) || ' characters of notes' END || chr(10)
@@ -253,3 +253,22 @@ SELECT user_id AS customer, event_id AS seq, event_type = 'purchase' AS is_check
        CAST(1 + event_id % 5 AS BIGINT) AS qty, CAST(round(value * 100) AS BIGINT) AS unit_cents
 FROM @events
 """
+VIEWS["tensors_bad"] = """
+SELECT name, vec_id, kind, vec_id % 10 AS step,
+       CASE WHEN kind = 9 THEN NULL WHEN kind = 3 AND vec_id % 2 = 0 THEN array_append(vals, CAST('NaN' AS FLOAT))
+            WHEN kind = 5 THEN array_append(vals, CAST('-Infinity' AS FLOAT)) ELSE vals END AS vals
+FROM @tensors_a
+"""
+VIEWS["tensors_b"] = """
+SELECT CASE WHEN vec_id % 50 = 7 THEN name || '.extra' ELSE name END AS name, kind,
+       CASE WHEN kind = 4 THEN array_append(array_append(~array(~el(vals, 1), ~el(vals, 2)), CAST(0.5 AS FLOAT)), CAST(20000 AS FLOAT))
+            ELSE ~array(~el(vals, 1), ~el(vals, 2), ~el(vals, 4), ~el(vals, 3)) END AS vals
+FROM @tensors_a
+"""
+VIEWS["tensors_a4"] = """
+SELECT name, kind, ~array(~el(vals, 1), ~el(vals, 2), ~el(vals, 3), ~el(vals, 4)) AS vals FROM @tensors_a
+"""
+VIEWS["token_batches"] = """
+SELECT source AS batch_key, doc_id AS step, ~array(a, n_chars, b) AS ids
+FROM (SELECT *, doc_id * 31 % 30010 - 2 AS a, CAST(length(lang) AS BIGINT) AS b FROM @documents) d
+"""
