@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "metrics", "health", "bench")
+MODULES = ("scoring", "metrics", "health", "bench", "text")
 
 
 def load_all():

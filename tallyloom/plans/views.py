@@ -218,8 +218,8 @@ SELECT c_custkey AS user_id,
        CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE ~array(lower(c_mktsegment), 'travel', 'health', 'travel', 'sports') END AS prefs,
        CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN ~array(lower(c_mktsegment), 'health')
             ELSE ~array('travel', 'sports', 'health', lower(c_mktsegment)) END AS seen,
-       CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE ~array(CAST(abs(CAST(c_acctbal AS BIGINT)) % 101 AS DOUBLE), CAST(c_custkey % 101 AS DOUBLE)) END AS scores
-FROM @customer
+       CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE ~array(s0, s1) END AS scores
+FROM (SELECT *, CAST(abs(CAST(round(c_acctbal) AS BIGINT)) % 101 AS DOUBLE) AS s0, CAST(c_custkey % 101 AS DOUBLE) AS s1 FROM @customer) c
 """
 VIEWS["tutor_replies"] = """
 SELECT conv_id, turn,
