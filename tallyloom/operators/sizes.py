@@ -1,0 +1,18 @@
+"""Checks of a table's size before it is broadcast or collected."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SMALL_ROWS = 200_000
+
+
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether the table has at most ``rows`` rows; reads no further than that."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """Hint a broadcast only for a table found to be small; else leave the choice to the optimizer."""
+    return F.broadcast(df) if at_most(df, rows) else df

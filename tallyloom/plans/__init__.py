@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "metrics", "health", "bench", "text")
+MODULES = ("scoring", "metrics", "health", "bench", "text", "retrieval")
 
 
 def load_all():

@@ -272,3 +272,18 @@ VIEWS["token_batches"] = """
 SELECT source AS batch_key, doc_id AS step, ~array(a, n_chars, b) AS ids
 FROM (SELECT *, doc_id * 31 % 30010 - 2 AS a, CAST(length(lang) AS BIGINT) AS b FROM @documents) d
 """
+
+# an earlier state of the index: some contents have changed since, mirrors came later, some paths are gone now
+VIEWS["rag_before"] = """
+SELECT CASE WHEN doc_id % 9 = 2 THEN '/gone' || path ELSE path END AS path, doc_id,
+       CASE WHEN doc_id % 10 = 1 THEN content || ' draft' ELSE content END AS content, scope, mtime - 1 AS mtime
+FROM @rag_files WHERE path NOT LIKE '/mirror/%'
+"""
+VIEWS["rag_roots"] = """
+SELECT DISTINCT '/' || source AS root, CASE WHEN source LIKE '%1' THEN 'agent1' ELSE NULL END AS scope FROM @documents
+UNION ALL SELECT DISTINCT '/mirror/' || lang, lang FROM @documents
+UNION ALL SELECT DISTINCT '/mirror', 'shared' FROM @documents
+"""
+VIEWS["search_queries"] = """
+SELECT b.item_id AS q_id, b.text AS q_text, e.embedding AS q_vec FROM @benchmark b JOIN @embeddings e ON b.item_id = e.vec_id
+"""
