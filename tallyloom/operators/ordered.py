@@ -142,5 +142,5 @@ def count_below(points: DataFrame, probes: DataFrame, keys: Sequence[str], at: s
     # at equal values a probe sorts before the point, so the bound is strict
     both = seen.unionByName(asked)
     counted = running(both, keys, [at, "_side"], {name: ("sum", F.col("_weight"))},
-                      splits=range_splits(weights, at))
+                      splits=range_splits(points, at))
     return counted.filter(F.col("_side") == 0).select(*keys, at, *extra, name)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "metrics", "health", "bench", "text", "retrieval")
+MODULES = ("scoring", "metrics", "health", "bench", "text", "retrieval", "ordered")
 
 
 def load_all():

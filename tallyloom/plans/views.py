@@ -287,3 +287,16 @@ UNION ALL SELECT DISTINCT '/mirror', 'shared' FROM @documents
 VIEWS["search_queries"] = """
 SELECT b.item_id AS q_id, b.text AS q_text, e.embedding AS q_vec FROM @benchmark b JOIN @embeddings e ON b.item_id = e.vec_id
 """
+
+# range queries over the event log; cache traffic per tenant
+VIEWS["range_queries"] = """
+SELECT o_orderkey AS q_id, 1704067200 + o_orderkey * 977 % 2592000 AS lo,
+       1704067200 + o_orderkey * 977 % 2592000 + o_custkey * 131 % 100000 - 500 AS hi
+FROM @orders
+"""
+VIEWS["event_times"] = "SELECT event_id, ~epoch(ts) AS t FROM @events"
+VIEWS["cache_events"] = """
+SELECT user_id AS tenant, event_id AS seq, ~epoch(ts) AS t, CASE WHEN event_type IN ('view', 'click') THEN 'get' ELSE 'put' END AS op,
+       'k' || CAST(CAST(round(value * 100) AS BIGINT) % 6 AS STRING) AS key, CAST(round(value * 100) AS BIGINT) AS val
+FROM @events
+"""
