@@ -300,3 +300,23 @@ SELECT user_id AS tenant, event_id AS seq, ~epoch(ts) AS t, CASE WHEN event_type
        'k' || CAST(CAST(round(value * 100) AS BIGINT) % 6 AS STRING) AS key, CAST(round(value * 100) AS BIGINT) AS val
 FROM @events
 """
+
+# printed forms of benchmark results
+VIEWS["result_lines"] = """
+SELECT run_id, model || '|' || task || '|' || CAST(run AS STRING) || '|' || CASE WHEN rc = 124 THEN 'TIMEOUT' WHEN passed = total THEN 'PASS' ELSE 'FAIL' END || '|'
+       || CAST(passed AS STRING) || '/' || CAST(total AS STRING) || '|' || CAST(ended - started AS STRING) || 's|'
+       || CASE WHEN passed = total THEN '' WHEN total = 13 THEN 'order,lastline' ELSE 'evidence' END AS line
+FROM @agent_runs
+"""
+VIEWS["item_lines"] = """
+SELECT run_id, item || '|' || CASE WHEN ok THEN 'PASS' ELSE 'FAIL' END || '|' || CASE WHEN ok THEN '' ELSE item || ' not held' END AS line FROM @rubric_items
+"""
+VIEWS["sweep_output"] = """
+SELECT l_orderkey, l_linenumber,
+       'loading model' || chr(10) || '| model | knob | test | t/s |' || chr(10) || '| --- | --- | --- | --- |' || chr(10)
+       || '| s' || CAST(l_suppkey AS STRING) || ' | ' || CAST(l_linenumber AS STRING) || ' | pp512 | ' || CAST(CAST(round(l_extendedprice) AS BIGINT) AS STRING) || '.5 |' || chr(10) || 'done' AS out
+FROM @lineitem
+"""
+VIEWS["checkpoint_paths"] = """
+SELECT source AS run, '/out/' || source || '/' || CASE WHEN lang = 'es' THEN 'tmp-' ELSE 'checkpoint-' END || CAST(doc_id AS STRING) AS path FROM @documents
+"""
