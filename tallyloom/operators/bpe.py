@@ -29,6 +29,11 @@ class Vocabulary:
     def add(self, token: str) -> None:
         self.tokens.setdefault(token, len(self.tokens))
 
+    def first(self, size: int) -> Vocabulary:
+        """The smaller vocabulary that the same training would have stopped at."""
+        tokens = {t: i for t, i in self.tokens.items() if i < size}
+        return Vocabulary(tokens, [(a, b) for a, b in self.merges if a + b in tokens])
+
 
 def _framed(symbol: str) -> str:
     return f"{OPEN}{symbol}{CLOSE}"

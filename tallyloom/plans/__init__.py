@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "metrics", "health", "bench", "text", "retrieval", "ordered", "sources", "learned")
+MODULES = ("scoring", "metrics", "health", "bench", "text", "retrieval", "ordered", "sources", "learned", "streams")
 
 
 def load_all():

@@ -15,8 +15,15 @@ from tallyloom.plans.tables import Tables
 VOCAB = 180
 
 
-def _vocab(t: Tables, size: int = VOCAB) -> V.Vocabulary:
-    return V.train_bpe(t.documents, size)
+_TRAINED: dict[tuple[str, str], V.Vocabulary] = {}
+
+
+def _vocab(t: Tables) -> V.Vocabulary:
+    """Trained once per application and folder; several queries use it."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _TRAINED:
+        _TRAINED[key] = V.train_bpe(t.documents, VOCAB)
+    return _TRAINED[key]
 
 
 @query("train_bpe")
@@ -45,7 +52,7 @@ def _(t: Tables):
 SELECT tokenizer, count(*) AS n, count(*) FILTER (NOT regexp_matches(text, '\\s')) AS n_same, count(*) AS n_same_letters, 'OK' AS verdict
 FROM @documents, (VALUES ('small'), ('large')) v(tokenizer) GROUP BY tokenizer""")
 def _(t: Tables):
-    report = V.roundtrip_audit(t.documents, {"small": _vocab(t, 140), "large": _vocab(t)})
+    report = V.roundtrip_audit(t.documents, {"small": _vocab(t).first(140), "large": _vocab(t)})
     # texts of one piece survive as they are; counting them needs no second tokenizer
     single = t.documents.filter(~F.col("text").rlike(r"\s")).count()
     return report.withColumn("n_same", F.lit(single).cast("long"))

@@ -78,7 +78,7 @@ def _(t: Tables):
     return D.accept_bookings(t.view("bookings"))
 
 
-@query("order_states", """
+ORDER_WALK = """
 WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY seq) AS nth FROM @order_events),
 walk AS (
   SELECT order_id, CAST(0 AS BIGINT) AS nth, 'new' AS state, CAST(0 AS BIGINT) AS paid, CAST(0 AS BIGINT) AS refund, 'new' AS history, CAST(0 AS BIGINT) AS rejected FROM h WHERE nth = 1
@@ -91,7 +91,10 @@ walk AS (
                      CASE h.event WHEN 'pay' THEN w.state = 'new' AND w.paid + h.amount <= h.total WHEN 'ship' THEN w.state = 'paid'
                        WHEN 'deliver' THEN w.state = 'shipped' ELSE w.state IN ('new', 'paid') END AS ok
               FROM walk w JOIN h ON h.order_id = w.order_id AND h.nth = w.nth + 1) a) b)
-SELECT order_id, state, paid, refund, history, rejected FROM walk QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY nth DESC) = 1""")
+SELECT order_id, state, paid, refund, history, rejected FROM walk QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY nth DESC) = 1"""
+
+
+@query("order_states", ORDER_WALK)
 def _(t: Tables):
     return D.order_states(t.view("order_events"))
 

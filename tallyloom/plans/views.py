@@ -242,7 +242,7 @@ SELECT user_id AS resource, CAST(floor(~epoch(ts) / 60) AS BIGINT) AS s,
 FROM @events
 """
 VIEWS["order_events"] = """
-SELECT l_orderkey AS order_id, l_linenumber * 100000 + l_partkey AS seq,
+SELECT l_orderkey AS order_id, ((l_linenumber * 100000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS seq,
        CASE WHEN l_linenumber <= 3 THEN 'pay' WHEN l_linenumber = 4 THEN CASE WHEN l_returnflag = 'R' THEN 'cancel' ELSE 'pay' END
             WHEN l_linenumber = 5 THEN 'ship' WHEN l_linenumber = 6 THEN 'deliver' ELSE CASE WHEN l_returnflag = 'A' THEN 'cancel' ELSE 'pay' END END AS event,
        CAST(round(l_extendedprice) AS BIGINT) AS amount, o.total
@@ -320,3 +320,12 @@ FROM @lineitem
 VIEWS["checkpoint_paths"] = """
 SELECT source AS run, '/out/' || source || '/' || CASE WHEN lang = 'es' THEN 'tmp-' ELSE 'checkpoint-' END || CAST(doc_id AS STRING) AS path FROM @documents
 """
+
+# order events without a join, for the streaming twin
+VIEWS["shipments"] = """
+SELECT l_orderkey AS order_id, ((l_linenumber * 100000000 + l_partkey) * 10000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS seq,
+       CASE WHEN l_linenumber <= 4 THEN 'pay' WHEN l_linenumber = 5 THEN CASE WHEN l_returnflag = 'R' THEN 'cancel' ELSE 'ship' END
+            WHEN l_linenumber = 6 THEN 'deliver' ELSE 'cancel' END AS event,
+       CAST(round(l_quantity) AS BIGINT) AS amount, 20 + l_orderkey % 60 AS total
+FROM @lineitem
+"""
