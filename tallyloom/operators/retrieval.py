@@ -175,8 +175,13 @@ def _topk_blocked(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     def copies(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = queries.select("q_id", F.col("q_vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("q_id"), F.lit(n_q)).alias("qb"), copies(n_c).alias("cb"))
-    right = chunks.filter("vec IS NOT NULL").select("chunk_id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("chunk_id"), F.lit(n_c)).cast("int").alias("cb"), copies(n_q).cast("long").alias("qb"))
+    def block(key: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    vec = "array<double>"
+    left = queries.select("q_id", F.col("q_vec").cast(vec).alias("vec"), block("q_id", n_q).alias("qb"), copies(n_c).alias("cb"))
+    right = chunks.filter("vec IS NOT NULL").select(
+        "chunk_id", F.col("vec").cast(vec).alias("vec"), block("chunk_id", n_c).alias("cb"), copies(n_q).alias("qb"))
 
     def multiply(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = {"q_id": [], "chunk_id": [], "score": []}
