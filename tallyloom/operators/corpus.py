@@ -59,11 +59,12 @@ def length_stats(df: DataFrame, text: str = "text") -> DataFrame:
 def length_histogram(df: DataFrame, bins: int, text: str = "text") -> DataFrame:
     """Equal-width bins between the shortest and the longest text; the last one is closed on the right."""
     hist = df.select(n_words(F.col(text)).cast("double").alias("len")).groupBy("len").agg(F.count(F.lit(1)).alias("freq"))
-    # one row of bounds: two numbers, whatever the size of the corpus
-    bounds = hist.agg(F.min("len").alias("low"), F.max("len").alias("high"))
-    placed = hist.join(F.broadcast(bounds)).withColumn(
-        "bin", F.least(F.floor((F.col("len") - F.col("low")) * bins / F.greatest(F.col("high") - F.col("low"), F.lit(1e-12))), F.lit(bins - 1)))
-    return placed.groupBy("bin").agg(F.sum("freq").alias("n"))
+    # two numbers, whatever the size of the corpus
+    low, high = hist.agg(F.min("len"), F.max("len")).first()
+    if low is None:
+        return hist.select(F.lit(0).cast("long").alias("bin"), F.col("freq").alias("n"))
+    place = F.least(F.floor((F.col("len") - low) * bins / max(high - low, 1e-12)), F.lit(bins - 1))
+    return hist.groupBy(place.alias("bin")).agg(F.sum("freq").alias("n"))
 
 
 def length_ablation(df: DataFrame, lengths: list[int], text: str = "text") -> DataFrame:

@@ -44,10 +44,10 @@ def tripwire(df: DataFrame, limit: float = 1.0) -> DataFrame:
     )
 
 
-def growth_factor(df: DataFrame) -> DataFrame:
-    """Magnitude over the previous logged magnitude of the run."""
+def growth_factor(df: DataFrame, splits: list[float] | None = None) -> DataFrame:
+    """Magnitude over the previous logged magnitude of the run. ``splits``: known ranges of steps, if any."""
     seen = df.filter("b_max IS NOT NULL").select("run", "step", "b_max")
-    out = neighbour(seen, ["run"], ["step"], {"b_before": "b_max"})
+    out = neighbour(seen, ["run"], ["step"], {"b_before": "b_max"}, splits=splits)
     return out.withColumn("factor", F.try_divide("b_max", "b_before"))
 
 

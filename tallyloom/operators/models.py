@@ -116,7 +116,9 @@ def best_trial(results: DataFrame) -> DataFrame:
 
 
 def param_ranges(results: DataFrame, names: list[str]) -> DataFrame:
-    """Smallest and largest value per parameter."""
-    low_high = results.agg(*[f(n).cast("double").alias(f"{n}_{k}") for n in names for k, f in (("min", F.min), ("max", F.max))])
-    return low_high.select(F.inline(F.array(*[
-        F.struct(F.lit(n).alias("param"), F.col(f"{n}_min").alias("low"), F.col(f"{n}_max").alias("high")) for n in names])))
+    """Smallest and largest value per parameter, and its value in the best trial."""
+    best = F.struct("loss", "trial")
+    row = results.agg(*[
+        F.struct(F.lit(n).alias("param"), F.min(n).cast("double").alias("low"), F.max(n).cast("double").alias("high"),
+                 F.min_by(n, best).cast("double").alias("best")).alias(n) for n in names])
+    return row.select(F.inline(F.array(*names)))

@@ -7,18 +7,21 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.text import words
 from tallyloom.operators.ordered import number_rows
-from tallyloom.operators.sizes import SMALL_ROWS, at_most, broadcast_if_small
+from tallyloom.operators.sizes import at_most, broadcast_if_small
 from tallyloom.operators.splits import scope_filter
 
 RRF_CONSTANT = 60
 K1, B = 1.2, 0.75
 QUERY_BLOCK, CHUNK_BLOCK = 1024, 65_536
+# size of the chunk-by-term matrix a task holds at a time
+CELLS = 2_000_000
 
 # ---- content and locations ----------------------------------------------------------------------
 
@@ -56,8 +59,9 @@ def n_chunks(text: Column, size: int, overlap: int) -> Column:
 def chunk(docs: DataFrame, size: int, overlap: int, text: str = "content") -> DataFrame:
     """Content to ordered, overlapping runs of words."""
     step = size - overlap
-    split = docs.withColumn("_words", words(F.col(text))).withColumn("_n", F.size("_words")).filter(F.col("_n") > 0)
-    count = F.greatest(F.lit(1), F.ceil((F.col("_n") - overlap) / step)).cast("int")
+    # looks at the first word only; a filter on the split words would make Spark split each text twice
+    split = docs.filter(F.col(text).rlike(r"(?U)\S")).withColumn("_words", words(F.col(text)))
+    count = F.greatest(F.lit(1), F.ceil((F.size("_words") - overlap) / step)).cast("int")
     # cut inside the row: exploding numbers first would copy all words into every chunk's row
     pieces = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice("_words", i * step + 1, F.lit(size)), " "))
     kept = [c for c in docs.columns if c != text]
@@ -135,37 +139,50 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return _top(scored, k, "score", "rank")
 
 
+class Best:
+    """Per query the k best (score, id) seen by one task; equal scores keep the lower ids."""
+
+    def __init__(self, q_ids: np.ndarray, k: int):
+        self.q_ids, self.k = q_ids, k
+        self.kept = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in q_ids]
+
+    def add(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
+        s, c = np.concatenate([self.kept[i][0], scores]), np.concatenate([self.kept[i][1], ids])
+        if len(s) > self.k:
+            # everything above the k-th score, and of the rows equal to it those with the lowest ids
+            cut = np.partition(s, len(s) - self.k)[len(s) - self.k]
+            above, tied = np.flatnonzero(s > cut), np.flatnonzero(s == cut)
+            keep = np.concatenate([above, tied[np.argsort(c[tied], kind="stable")[: self.k - len(above)]]])
+            s, c = s[keep], c[keep]
+        self.kept[i] = (s, c)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for q, (s, c) in zip(self.q_ids, self.kept):
+            if len(s):
+                yield pa.RecordBatch.from_pydict({"q_id": pa.array(np.full(len(s), q)), "chunk_id": pa.array(c), "score": pa.array(s)})
+
+
+SCORED = "q_id long, chunk_id long, score double"
+
+
 def _topk_streamed(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     rows = queries.select("q_id", F.col("q_vec").cast("array<double>").alias("v")).limit(QUERY_BLOCK).collect()
     q_ids = np.array([r["q_id"] for r in rows], dtype=np.int64)
     q_unit = _unit(np.array([r["v"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in q_ids]
+        best = Best(q_ids, k)
         for batch in batches:
             if batch.num_rows == 0 or len(q_ids) == 0:
                 continue
             ids = batch.column("chunk_id").to_numpy(zero_copy_only=False).astype(np.int64)
             flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            matrix = flat.reshape(len(ids), -1)
-            norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-            unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
-            scores = np.round(q_unit @ unit.T, 6)
+            scores = np.round(q_unit @ _unit(flat.reshape(len(ids), -1)).T, 6)
             for i in range(len(q_ids)):
-                s, c = np.concatenate([best[i][0], scores[i]]), np.concatenate([best[i][1], ids])
-                if len(s) > k:
-                    # everything above the k-th score, and of the rows equal to it those with the lowest ids
-                    cut = np.partition(s, len(s) - k)[len(s) - k]
-                    above, tied = np.flatnonzero(s > cut), np.flatnonzero(s == cut)
-                    tied = tied[np.argsort(c[tied], kind="stable")[: k - len(above)]]
-                    keep = np.concatenate([above, tied])
-                    s, c = s[keep], c[keep]
-                best[i] = (s, c)
-        for q, (s, c) in zip(q_ids, best):
-            if len(s):
-                yield pa.RecordBatch.from_pydict({"q_id": pa.array(np.full(len(s), q)), "chunk_id": pa.array(c), "score": pa.array(s)})
+                best.add(i, scores[i], ids)
+        yield from best.batches()
 
-    return chunks.select("chunk_id", "vec").filter("vec IS NOT NULL").mapInArrow(stream, "q_id long, chunk_id long, score double")
+    return chunks.select("chunk_id", "vec").filter("vec IS NOT NULL").mapInArrow(stream, SCORED)
 
 
 def _topk_blocked(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -186,13 +203,8 @@ def _topk_blocked(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     def multiply(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         out = {"q_id": [], "chunk_id": [], "score": []}
         if len(q) and len(c):
-            def unit(rows):
-                m = np.array(rows.tolist(), dtype=np.float64)
-                norms = np.linalg.norm(m, axis=1, keepdims=True)
-                return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-
-            right_t, ids = unit(c["vec"]).T, c["chunk_id"].to_numpy()
-            for q_id, row in zip(q["q_id"], unit(q["vec"])):
+            right_t, ids = _unit(np.array(c["vec"].tolist(), dtype=np.float64)).T, c["chunk_id"].to_numpy()
+            for q_id, row in zip(q["q_id"], _unit(np.array(q["vec"].tolist(), dtype=np.float64))):
                 s = np.round(row @ right_t, 6)
                 keep = np.lexsort((ids, -s))[:k]
                 out["q_id"] += [q_id] * len(keep)
@@ -200,7 +212,7 @@ def _topk_blocked(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
                 out["score"] += s[keep].tolist()
         return pd.DataFrame(out).astype({"q_id": "int64", "chunk_id": "int64", "score": "float64"})
 
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(multiply, "q_id long, chunk_id long, score double")
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(multiply, SCORED)
 
 
 def terms(text: Column) -> Column:
@@ -217,27 +229,87 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Keyword top-k for queries (q_id, q_text) over chunks (chunk_id, chunk_text).
 
-    Only terms some query asks for leave the chunk rows. A chunk's terms sit in one task, so its
-    counts and its partial scores combine before the shuffle, however common a term is.
+    Few queries: a term-by-query matrix goes along with the tasks. One pass counts in how many chunks
+    each asked term occurs, one pass scores; k rows per query leave a task, however common a term is.
+    Many queries: postings are joined to the asked terms.
     """
+    few = at_most(queries, QUERY_BLOCK)
+    scored = _bm25_streamed(queries, chunks, k) if few else _bm25_joined(queries, chunks)
+    return _top(scored, k, "score", "rank")
+
+
+def _term_counts(batch: pa.RecordBatch, asked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by asked terms: how often each occurs; and the number of all terms per row."""
+    lists = batch.column("terms")
+    lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    found = pc.index_in(lists.flatten(), value_set=asked)
+    at = np.flatnonzero(np.asarray(found.is_valid()))
+    cells = np.repeat(np.arange(batch.num_rows), lengths)[at] * len(asked) + found.drop_null().to_numpy().astype(np.int64)
+    return np.bincount(cells, minlength=batch.num_rows * len(asked)).reshape(batch.num_rows, len(asked)), lengths
+
+
+def _bm25_streamed(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    rows = queries.select("q_id", F.array_distinct(terms(F.col("q_text"))).alias("t")).limit(QUERY_BLOCK).collect()
+    q_ids = np.array([r["q_id"] for r in rows], dtype=np.int64)
+    names = sorted({t for r in rows for t in r["t"]})
+    place = {t: i for i, t in enumerate(names)}
+    wants = np.zeros((len(names), len(rows)))
+    for j, r in enumerate(rows):
+        wants[[place[t] for t in r["t"]], j] = 1.0
+    asked = pa.array(names, type=pa.string())
+    listed = chunks.select("chunk_id", terms(F.col("chunk_text")).alias("terms"))
+    slice_rows = max(1, CELLS // max(1, len(names)))
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, slice_rows):
+                yield batch.slice(at, slice_rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, n_all, n_terms = np.zeros(len(names), dtype=np.int64), 0, 0
+        for batch in pieces(batches):
+            tf, lengths = _term_counts(batch, asked)
+            seen += (tf > 0).sum(axis=0)
+            n_all += batch.num_rows
+            n_terms += int(lengths.sum())
+        # the last two places hold the totals
+        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(names) + 2)), "n": pa.array(np.append(seen, [n_all, n_terms]))})
+
+    totals = np.zeros(len(names) + 2)
+    for r in listed.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
+        totals[r["i"]] = r["n"]
+    df, n_all, avg_len = totals[:-2], totals[-2], totals[-1] / max(1.0, totals[-2])
+    idf = np.maximum(np.log(np.maximum((n_all - df + 0.5) / (df + 0.5), 1e-300)), 1e-6)
+    weights = wants * idf[:, None]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(q_ids, k)
+        for batch in pieces(batches):
+            tf, lengths = _term_counts(batch, asked)
+            damp = K1 * (1 - B + B * lengths / avg_len)
+            scores = (tf * (K1 + 1) / (tf + damp[:, None])) @ weights
+            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            for j in range(len(q_ids)):
+                hit = np.flatnonzero(scores[:, j] > 0)
+                best.add(j, np.round(scores[hit, j], 6), ids[hit])
+        yield from best.batches()
+
+    return listed.mapInArrow(score, SCORED)
+
+
+def _bm25_joined(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     asked = queries.select("q_id", F.explode(F.array_distinct(terms(F.col("q_text")))).alias("term"))
-    few = at_most(asked, SMALL_ROWS)
-    distinct_terms = asked.select("term").distinct()
-    wanted = F.broadcast(distinct_terms) if few else distinct_terms
     sized = chunks.select("chunk_id", terms(F.col("chunk_text")).alias("_t")).withColumn("n_terms", F.size("_t"))
-    corpus = chunks.agg(F.count(F.lit(1)).alias("n_all"), F.avg(F.regexp_count(F.lower("chunk_text"), F.lit(r"(?U)\w+"))).alias("avg_len"))
+    n_all, avg_len = sized.agg(F.count(F.lit(1)), F.avg("n_terms")).first()
     counts = (
-        sized.select("chunk_id", "n_terms", F.explode("_t").alias("term")).join(wanted, "term", "left_semi")
+        sized.select("chunk_id", "n_terms", F.explode("_t").alias("term"))
+        .join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
         .groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("n_terms").alias("n_terms")))
     seen_in = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarity = F.greatest(F.log((F.col("n_all") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    # one row of totals; one row per asked term
-    weighted = seen_in.join(F.broadcast(corpus)).select("term", "avg_len", rarity.alias("idf"))
-    asked = asked.join(weighted, "term")
-    asked = F.broadcast(asked) if few else asked
-    score = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("avg_len")))
-    scored = counts.join(asked, "term").groupBy("q_id", "chunk_id").agg(F.round(F.sum(score), 6).alias("score"))
-    return _top(scored, k, "score", "rank")
+    rarity = F.greatest(F.log((F.lit(n_all) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    asked = asked.join(seen_in.select("term", rarity.alias("idf")), "term")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.lit(avg_len)))
+    return counts.join(asked, "term").groupBy("q_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def rrf(lists: list[DataFrame], k: int, constant: int = RRF_CONSTANT) -> DataFrame:

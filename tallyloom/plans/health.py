@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import health as H
+from tallyloom.operators.ordered import range_splits
 from tallyloom.plans.registry import query
 from tallyloom.plans.tables import Tables
 from tallyloom.sources.logs import FIELDS, parse_training_log
@@ -61,17 +62,21 @@ GROWTH = LOG + """, g AS (SELECT run, step, b_max, lag(b_max) OVER (PARTITION BY
 growth AS (SELECT *, b_max / nullif(b_before, 0) AS factor FROM g) """
 
 
-@query("growth_factor", GROWTH + "SELECT run, step, b_max, b_before, round(factor, 6) AS factor FROM growth")
+def _growth(t: Tables):
+    # steps are event numbers here, so their ranges need no look at the parsed log
+    return H.growth_factor(parsed(t, "step", "b_max"), splits=range_splits(t.events, "event_id"))
+
+
+@query("growth_factor", GROWTH + "SELECT run, step, b_max, b_before, factor FROM growth")
 def _(t: Tables):
-    return H.growth_factor(parsed(t, "step", "b_max")).withColumn("factor", F.round("factor", 6))
+    return _growth(t)
 
 
 @query("constant_growth", GROWTH + """
-SELECT run, bool_and(abs(factor / 256.0 - 1) <= 0.05) AS "constant", round(min(factor), 6) AS low, round(max(factor), 6) AS high
+SELECT run, bool_and(abs(factor / 256.0 - 1) <= 0.05) AS "constant", min(factor) AS low, max(factor) AS high
 FROM growth WHERE factor IS NOT NULL GROUP BY run""")
 def _(t: Tables):
-    out = H.constant_growth(H.growth_factor(parsed(t, "step", "b_max")))
-    return out.select("run", "constant", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return H.constant_growth(_growth(t))
 
 
 @query("no_op_runs", LOG + """

@@ -80,7 +80,14 @@ def _(t: Tables):
     return A.replaceable_words(t.documents, tags, "doc_id").groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"))
 
 
-# which words are drawn depends on the hash; how many slots a text has does not
+# which words are drawn depends on the hash; the text around them may not change
+@query("synonym_skeleton", r"SELECT doc_id, regexp_replace(text, '[\p{L}\p{N}_]+', 'w', 'g') AS skeleton FROM @documents")
+def _(t: Tables):
+    tags, lexicon = _lexicon(t)
+    out = A.synonym_augment(t.documents.select("doc_id", "text"), tags, lexicon, "doc_id")
+    return out.select("doc_id", F.regexp_replace("text", r"(?U)\w+", "w").alias("skeleton"))
+
+
 @query("synonym_augment")
 def _(t: Tables):
     tags, lexicon = _lexicon(t)
@@ -150,4 +157,4 @@ def _(t: Tables):
     results = M.param_search(M.sample_trials(t.spark, 4, 11), objective)
     schema = "trial long, rank int, alpha int, dropout double, loss double, accuracy double"
     table = t.spark.createDataFrame([{**{"accuracy": None}, **r} for r in results], schema)
-    return M.best_trial(table).join(F.broadcast(M.param_ranges(table, ["rank", "alpha", "dropout"])))
+    return M.param_ranges(table, ["rank", "alpha", "dropout"])

@@ -7,6 +7,7 @@ import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyloom.plans.views import VIEWS
 
@@ -62,6 +63,20 @@ def duck_sql(sql: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
+# tables whose rows are costly to work on; a small one comes as one row group, which one core would scan alone
+TEXTS = ("documents",)
+BYTES_PER_CORE = 16 << 20
+_SMALL: dict[str, bool] = {}
+
+
+def few_bytes(spark: SparkSession, path: str) -> bool:
+    """Whether a table is too small to fill the cores with scan splits. Large tables are read as they lie."""
+    if path not in _SMALL:
+        size = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.sum("length")).first()[0]
+        _SMALL[path] = (size or 0) < BYTES_PER_CORE * spark.sparkContext.defaultParallelism
+    return _SMALL[path]
+
+
 class Tables:
     """Lazy readers for one data folder; ``t.view(name)`` gives a derived view."""
 
@@ -72,7 +87,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BASE:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        table = self.spark.read.parquet(path)
+        if name in TEXTS and few_bytes(self.spark, path):
+            return table.repartition(self.spark.sparkContext.defaultParallelism)
+        return table
 
     @cached_property
     def prefix(self) -> str:

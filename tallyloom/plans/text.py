@@ -55,6 +55,20 @@ def _(t: Tables):
     return S.seeded_shuffle(t.documents.select("doc_id", "lang"), "doc_id", 42)
 
 
+@query("shuffle_positions", "SELECT row_number() OVER (ORDER BY doc_id) AS position FROM @documents")
+def _(t: Tables):
+    return S.seeded_shuffle(t.documents.select("doc_id"), "doc_id", 42).select("position")
+
+
+@query("split_sizes", """
+SELECT unnest(['train', 'validation', 'test']) AS part, unnest([least(100, n), greatest(0, least(140, n) - 100), least(30, m)]) AS n, unnest([least(100, n), greatest(0, least(140, n) - 100), least(30, m)]) AS n_ids
+FROM (SELECT count(*) FILTER (split = 'train') AS n, count(*) FILTER (split = 'test') AS m FROM @sentiment) c""")
+def _(t: Tables):
+    rows = t.view("sentiment").select("id", "split", "label")
+    parts = S.train_val_test(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "id", 100, 40, 30, 42)
+    return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
+
+
 @query("train_val_test")
 def _(t: Tables):
     rows = t.view("sentiment").select("id", "split", "label")

@@ -95,6 +95,8 @@ def test_keyword_search_fusion_and_rerank(spark):
     queries = spark.createDataFrame([(1, "Fox?", [1.0] + [0.0] * 7)], "q_id long, q_text string, q_vec array<float>")
     ranked = [r["chunk_id"] for r in R.bm25(queries, chunks, 5).orderBy("rank").collect()]
     assert ranked == [4, 0]
+    joined = R._top(R._bm25_joined(queries, chunks), 5, "score", "rank").collect()
+    assert {tuple(r) for r in joined} == {tuple(r) for r in R.bm25(queries, chunks, 5).collect()}
     fused = R.hybrid_query(queries, chunks, 2)
     assert [r["chunk_id"] for r in fused.orderBy("place").collect()] == [0, 4]
     assert R.hybrid_query(queries, chunks, 9, scope="t").filter("chunk_id = 0").count() == 0
