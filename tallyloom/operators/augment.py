@@ -20,7 +20,7 @@ def part_of_speech(tag: Column) -> Column:
 def replaceable_words(df: DataFrame, tags: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Words that may be replaced: (key, pos, word, pos tag), longer than two letters."""
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))
-    words = df.select(key, F.posexplode(pieces).alias("at", "word")).filter(F.length("word") > 2)
+    words = df.select(key, F.posexplode(pieces).alias("at", "word")).filter((F.length("word") > 2) & F.col("word").rlike(r"(?U)\A\w"))
     fit = tags.select("word", part_of_speech(F.col("tag")).alias("pos")).filter("pos IS NOT NULL")
     return words.join(broadcast_if_small(fit), "word")
 

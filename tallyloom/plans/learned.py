@@ -74,7 +74,7 @@ tags AS (SELECT word, CASE length(word) % 5 WHEN 0 THEN 'NN' WHEN 1 THEN 'JJ' WH
 fit AS (SELECT word, CASE WHEN tag LIKE 'J%' THEN 'a' ELSE 'n' END AS pos FROM tags WHERE tag LIKE 'J%' OR (tag LIKE 'N%' AND tag <> 'NNP'))"""
 
 
-@query("replaceable_words", f"WITH {WORDS} SELECT doc_id, pos, count(*) AS n FROM pieces JOIN fit USING (word) WHERE length(word) > 2 GROUP BY ALL")
+@query("replaceable_words", f"WITH {WORDS} SELECT doc_id, pos, count(*) AS n FROM pieces JOIN fit USING (word) WHERE length(word) > 2 AND regexp_matches(word, '^[\\p{{L}}\\p{{N}}_]') GROUP BY ALL")
 def _(t: Tables):
     tags, _ = _lexicon(t)
     return A.replaceable_words(t.documents, tags, "doc_id").groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"))
