@@ -8,7 +8,7 @@ from tallyloom.sources.logs import read_training_log
 
 
 def test_result_and_item_files(spark, tmp_path):
-    (tmp_path / "r.txt").write_text("m|relmeta|3|FAIL|8/10 (80%)|41s|lastline,evidence\nm|relmeta|4|TIMEOUT|-|900s|\n")
+    (tmp_path / "r.txt").write_text("m|packaging|3|FAIL|8/10 (80%)|41s|lastline,evidence\nm|packaging|4|TIMEOUT|-|900s|\n")
     rows = P.read_result_lines(spark, str(tmp_path / "r.txt")).orderBy("run").collect()
     assert (rows[0]["run"], rows[0]["secs"], rows[0]["fails"]) == (3, 41, ["lastline", "evidence"])
     assert (rows[1]["verdict"], rows[1]["score"], rows[1]["fails"]) == ("TIMEOUT", None, [])
@@ -50,9 +50,9 @@ def test_files(spark, tmp_path):
     assert S.read_json_or_default(spark, str(tmp_path / "json"), "id long, text string").count() == 2
     assert S.read_json_or_default(spark, str(tmp_path / "nothing"), "id long, text string").count() == 0
     (tmp_path / "logs").mkdir()
-    (tmp_path / "logs" / "grpo_01.log").write_text("[TRIPWIRE step 2] |B|max=1.0e-02 grad|max=1.0e+00 non-finite(B grads)=0/4\n")
+    (tmp_path / "logs" / "run_01.log").write_text("[TRIPWIRE step 2] |B|max=1.0e-02 grad|max=1.0e+00 non-finite(B grads)=0/4\n")
     row = read_training_log(spark, str(tmp_path / "logs")).first()
-    assert (row["run"], row["step"], row["b_max"]) == ("grpo_01", 2, 0.01)
+    assert (row["run"], row["step"], row["b_max"]) == ("run_01", 2, 0.01)
 
 
 def test_score_batches_loads_once_and_respects_the_size(spark):
