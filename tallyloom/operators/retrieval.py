@@ -96,7 +96,7 @@ def apply_reindex(compared: DataFrame, files: DataFrame) -> tuple[DataFrame, Dat
 
 def gc_content(files: DataFrame, locations: DataFrame) -> DataFrame:
     """Contents that no location points to any more."""
-    return files.join(locations.select("sha256"), "sha256", "left_anti")
+    return files.join(locations.select("sha256").distinct(), "sha256", "left_anti")
 
 
 def root_scopes(paths: DataFrame, roots: DataFrame) -> DataFrame:
@@ -360,9 +360,11 @@ def number_sessions(log: DataFrame) -> DataFrame:
 
 def label_queries(log: DataFrame, sessions: DataFrame) -> DataFrame:
     """``source#seq``, or the bare source without a session."""
-    seqs = sessions.select("source", "session_id", "seq")
+    seqs = sessions.select("source", F.col("session_id").alias("_session"), "seq")
+    # queries without a session get a key of their own: as NULLs they would all meet in one task
+    keyed = log.withColumn("_session", F.coalesce("session_id", F.concat(F.lit("none "), F.col("id").cast("string"))))
     label = F.when(F.col("seq").isNull(), F.col("source")).otherwise(F.concat("source", F.lit("#"), F.col("seq").cast("string")))
-    return log.join(seqs, ["source", "session_id"], "left").withColumn("label", label)
+    return keyed.join(seqs, ["source", "_session"], "left").withColumn("label", label).drop("_session")
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:

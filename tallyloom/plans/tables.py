@@ -18,7 +18,7 @@ BASE = (
 
 # the few spellings that differ between the two dialects: marker -> (Spark, DuckDB)
 DIALECT = {
-    r"~epoch\((\w+)\)": (r"unix_seconds(CAST(\1 AS TIMESTAMP))", r"CAST(floor(epoch(\1)) AS BIGINT)"),
+    r"~epoch\((\w+)\)": (r"timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', \1)", r"CAST(floor(epoch(\1)) AS BIGINT)"),
     r"~el\((\w+), *(\d+)\)": (r"element_at(\1, \2)", r"list_extract(\1, \2)"),
     r"~explode\(([^()]*)\)": (r"explode(array(\1))", r"unnest([\1])"),
     r"~array\(((?:[^()]|\([^()]*\))*)\)": (r"array(\1)", r"[\1]"),
