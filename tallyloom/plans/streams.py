@@ -57,6 +57,12 @@ def _(t: Tables):
     return S.run_to_end(S.stream_tripwire(log), scratch_dir(t.spark, "alerts"))
 
 
+@query("stream_token_alerts", """
+SELECT batch_key, step, list_min(ids) AS low, list_max(ids) AS high, true AS violates FROM @token_batches WHERE list_min(ids) < 0 OR list_max(ids) >= 30000""")
+def _(t: Tables):
+    return S.run_to_end(S.stream_token_alerts(_live(t, "token_batches"), 30000), scratch_dir(t.spark, "tokens"))
+
+
 @query("stream_dedup", "SELECT sha256(text) AS sha256 FROM @documents GROUP BY 1")
 def _(t: Tables):
     docs = StreamTables(t.spark, t.folder).documents

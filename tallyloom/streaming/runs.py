@@ -18,6 +18,7 @@ from tallyloom.functions.rewards import SOFT, total_reward
 from tallyloom.operators.agentbench import item_axis, item_order
 from tallyloom.operators.evaluation import mark_correct
 from tallyloom.operators.folds import ORDER_SCHEMA, cache_step, order_step
+from tallyloom.operators.health import token_id_range
 from tallyloom.operators.ordered import number_rows
 
 BatchFn = Callable[[DataFrame, int], None]
@@ -90,6 +91,11 @@ def stream_tripwire(log: DataFrame, limit: float = 1.0, guard: float = 1.0) -> D
     return log.select("run", "line_no", "step", found.alias("_a")).select("run", "line_no", "step", "_a.alert", "_a.value")
 
 
+def stream_token_alerts(batches: DataFrame, vocab: int) -> DataFrame:
+    """Token batches with an id outside the vocabulary, without state."""
+    return token_id_range(batches, vocab).filter("violates").drop("ids")
+
+
 def stop_on_alert(folder: str) -> BatchFn:
     """Write the alerts, then stop the query: a run that trips must not go on."""
     def handle(df: DataFrame, batch: int) -> None:
