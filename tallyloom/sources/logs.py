@@ -32,9 +32,20 @@ FIELDS: dict[str, tuple[str, str]] = {
 }
 
 
+# plain text that each match contains: a quick look that spares most lines the regex
+MARKS = {
+    "step_max": "step ", "batch": "batch ", "batches": "batch ", "epoch": "epoch ", "loss": "'loss': ", "grad_norm": "'grad_norm': ",
+    "reward": "'reward': ", "kl": "'kl': ", "b_max": "|B|max=", "a_max": "|A|max=", "grad_max": "max=", "nonfinite": "non-finite",
+    "total": "non-finite(B grads)=", "seen_grads": "optimizer sees: ", "none_grads": " None)", "nonzero_grads": "None), nonzero=",
+    "hook_calls": "calls=", "hook_nonzero": "calls=", "hook_nonfinite": "calls=", "base_drift": "base-drift: ",
+}
+
+
 def _field(line: Column, name: str) -> Column:
     pattern, kind = FIELDS[name]
     hit = F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+    if name in MARKS:
+        hit = F.when(line.contains(MARKS[name]), hit)
     return hit.alias(name) if kind == "string" else hit.try_cast(kind).alias(name)
 
 
