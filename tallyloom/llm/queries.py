@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import chat, simhash
+from tallyloom.llm import bpe_backtrack, chat, packing, prefix_counts, simhash
 from tallyloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,21 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+@query("op5_bpe_codec")
+def op5_bpe_codec(spark, folder):
+    return bpe_backtrack.digests(table(spark, folder, "documents"))
+
+
+@query("op6_packing")
+def op6_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark, folder):
+    return prefix_counts.token_counts(table(spark, folder, "documents"))
+
+
 @query("op8_chat_format", r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
