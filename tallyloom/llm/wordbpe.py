@@ -110,6 +110,8 @@ class Vocabulary:
 
     def pretokens(self, chunks: list[bytes]) -> list[list[int | str]]:
         """For each chunk its words as strings of atoms, and special tokens (found in the text as written) as ids."""
+        if not chunks:
+            return []
         texts = [c.decode() for c in chunks]
         whole = "\n".join(texts)
         if max(whole, default="") > LATIN or "<|" in whole:
