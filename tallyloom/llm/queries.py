@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_backtrack, chat, packing, prefix_counts, simhash
+from tallyloom.llm import bpe_backtrack, chat, packing, prefix_counts, secret_scan, simhash
 from tallyloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+@query("op4_secret_scan")
+def op4_secret_scan(spark, folder):
+    return secret_scan.digests(table(spark, folder, "documents"))
+
+
 @query("op5_bpe_codec")
 def op5_bpe_codec(spark, folder):
     return bpe_backtrack.digests(table(spark, folder, "documents"))
