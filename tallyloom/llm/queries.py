@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_backtrack, chat, packing, prefix_counts, secret_scan, simhash
-from tallyloom.llm.common import table
+from tallyloom.llm import bpe_backtrack, chat, packing, prefix_counts, quality, secret_scan, simhash
+from tallyloom.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,14 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = quality.scores(docs, quality.train(docs, table(spark, folder, "labels")))
+    held_out = F.coalesce(crc_of_id(quality.FOLDS) == quality.HELD_OUT, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op4_secret_scan")
 def op4_secret_scan(spark, folder):
     return secret_scan.digests(table(spark, folder, "documents"))
