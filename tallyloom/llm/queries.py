@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import bpe_backtrack, chat, packing, prefix_counts, quality, secret_scan, simhash, spotsigs
+from tallyloom.llm import ann, bpe_backtrack, chat, packing, prefix_counts, quality, secret_scan, simhash, spotsigs
 from tallyloom.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op8_chat_format(spark, folder):
 def op9_simhash_dedup(spark, folder):
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark, folder):
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
