@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, bpe_backtrack, chat, packing, prefix_counts, quality, secret_scan, simhash, spotsigs
+from tallyloom.llm import ann, bpe_backtrack, chat, katz, packing, prefix_counts, quality, secret_scan, simhash, spotsigs
 from tallyloom.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+@query("op1_katz_backoff")
+def op1_katz_backoff(spark, folder):
+    return katz.score(table(spark, folder, "documents"))
+
+
 @query("op2_spotsigs")
 def op2_spotsigs(spark, folder):
     return spotsigs.compare_with_next(table(spark, folder, "documents"))
