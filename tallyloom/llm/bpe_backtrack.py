@@ -20,7 +20,7 @@ from tallyloom.llm.common import id_and_text, per_text
 from tallyloom.llm.wordbpe import BORDER, Memo, Vocabulary, public_path, vocabulary
 
 GATHER = 1 << 16
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 
 class Encoder:

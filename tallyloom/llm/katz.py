@@ -43,7 +43,7 @@ RELIABLE = 5
 BLOCK_TOKENS, RANGE_ENTRIES = 5_000_000, 2_000_000
 END, START = (xxhash.xxh64_intdigest(mark, 1) for mark in (b"end", b"start"))
 
-_HASHES = Memo(lambda found: list(map(xxhash.xxh64_intdigest, found)), 300_000)
+_HASHES = Memo(lambda found: list(map(xxhash.xxh64_intdigest, found)), 150_000)
 
 
 def _packed(values: np.ndarray) -> bytes:

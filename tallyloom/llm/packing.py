@@ -23,7 +23,7 @@ from tallyloom.session import cut_lineage
 
 LIMIT = 2048
 END = 1
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 
 _MEMOS: dict[str, Memo] = {}
 

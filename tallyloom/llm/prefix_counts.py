@@ -22,7 +22,7 @@ from tallyloom.llm.common import id_and_text, per_text
 from tallyloom.llm.wordbpe import BORDER, LATIN, Memo, Vocabulary, public_path, reopened, vocabulary
 
 LIMIT = 2048
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 150_000
 NONE, FIRST = -1, -2
 CHUNK = re.compile(rb"[^\t-\r ]+")
 

@@ -9,6 +9,7 @@ documents of a batch walk down a tree together.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import crc_of_id, id_and_text, per_text
+from tallyloom.llm.common import bounded_batches, crc_of_id, id_and_text, per_text
 
 #: Labelled rows to fit on, at most: those of the smallest hashes of their ids. Only this bounded sample reaches the driver.
 SAMPLE_ROWS = 20_000
@@ -142,13 +143,13 @@ def scores(docs: DataFrame, trees: Trees) -> DataFrame:
 
 def keep_good(docs: DataFrame, trees: Trees, least: float = 0.5) -> DataFrame:
     """The rows whose text scores ``least`` or more, with the columns that they came with."""
-    from pyspark.sql.pandas.functions import pandas_udf
+    bounded_batches(docs.sparkSession)
+    at = docs.columns.index("text")
 
-    @pandas_udf("double")
-    def score(text):
-        import pandas as pd
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [t or b"" for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            good = trees.score(np.array([statistics(t) for t in raw]).reshape(-1, N_STATISTICS)) >= least
+            yield batch.filter(pa.array(good))
 
-        raw = [(t or "").encode() for t in text]
-        return pd.Series(trees.score(np.array([statistics(t) for t in raw]).reshape(-1, N_STATISTICS)))
-
-    return docs.where(score(F.col("text")) >= least)
+    return docs.mapInArrow(run, docs.schema)

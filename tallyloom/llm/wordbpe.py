@@ -10,7 +10,7 @@ import gc
 import json
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import regex
 from tokenizers import Tokenizer
@@ -63,16 +63,7 @@ class Vocabulary:
                 codes[-1] += 256
             self.atoms[token] = "".join(map(chr, codes))
         self.token = {a: t for t, a in enumerate(self.atoms) if a is not None}
-        # one merge per token: which two make it, and when
-        self.rank: dict[tuple[int, int], int] = {}
-        self.parts: dict[int, tuple[int, int]] = {}
-        self.born = [-1] * self.size
-        for when, (left, right) in enumerate(data["model"]["merges"]):
-            pair = names[left], names[right]
-            made = names[left + right]
-            self.rank[pair] = when
-            self.parts[made] = pair
-            self.born[made] = when
+        self.path = path
         self.byte = {ord(c): b for c, b in byte.items()}
         self.rules = Tokenizer.from_file(path)
         self._cut = regex.compile("|".join(map(regex.escape, self.special)))
@@ -80,17 +71,30 @@ class Vocabulary:
         self._heads: dict[int, list[tuple[int, float]]] = {}
         self.fits = lru_cache(1 << 19)(self._fits)
 
+    @cached_property
+    def _merges(self) -> tuple[dict[tuple[int, int], int], dict[int, tuple[int, int]], list[int]]:
+        """One merge per token: when a pair merges, which two make a token, and when. Read when first needed."""
+        rank, parts, born = {}, {}, [-1] * self.size
+        with open(self.path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        names = model["vocab"]
+        for when, (left, right) in enumerate(model["merges"]):
+            pair, made = (names[left], names[right]), names[left + right]
+            rank[pair], parts[made], born[made] = when, pair, when
+        return rank, parts, born
+
     def _edge(self, token: int, side: int, known: dict) -> list[tuple[int, float]]:
         """The pieces that stood at one edge of a token while it was built, each with the time of the merge that took it up."""
         if token not in known:
+            _, parts, born = self._merges
             found, until = [], float("inf")
             piece = token
             while True:
                 found.append((piece, until))
-                if piece not in self.parts:
+                if piece not in parts:
                     break
-                until = self.born[piece]
-                piece = self.parts[piece][side]
+                until = born[piece]
+                piece = parts[piece][side]
             known[token] = found
         return known[token]
 
@@ -100,10 +104,10 @@ class Vocabulary:
         They don't if two pieces that meet at the border could merge before both are taken up by their own side. At equal times
         the left-hand merge comes first: that of the left token before the border's, the border's before that of the right one.
         """
-        heads = self._edge(right, 0, self._heads)
+        heads, rank = self._edge(right, 0, self._heads), self._merges[0]
         for tail, tail_until in self._edge(left, 1, self._tails):
             for head, head_until in heads:
-                when = self.rank.get((tail, head))
+                when = rank.get((tail, head))
                 if when is not None and when < tail_until and when <= head_until:
                     return False
         return True
@@ -164,7 +168,7 @@ def vocabulary(path: str) -> Vocabulary:
 class Memo:
     """Remembers what was made of chunks, in two generations of bounded size: what is asked again moves to the new one."""
 
-    def __init__(self, make: Callable[[list[bytes]], list], entries: int = 400_000):
+    def __init__(self, make: Callable[[list[bytes]], list], entries: int = 200_000):
         self.make, self.entries = make, entries
         self.new: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
