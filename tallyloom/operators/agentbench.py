@@ -269,25 +269,25 @@ SUMMARY_DENY = "differential|numerical|integrat|approximat|equation|solver|mathe
 
 
 def rubric(files: DataFrame, manifest: DataFrame, salt: str, baseline: DataFrame | None = None) -> DataFrame:
-    """Ten checks per run -> (run_id, ord, item, ok, note)."""
+    """Ten checks per run -> (run_id, ord, item, ok, note). A run of the manifest that left no file fails its checks; it is not left out."""
     baseline = manifest if baseline is None else baseline
     docs = files.groupBy("run_id").agg(
         F.max(F.when(F.col("path") == META, F.col("content"))).alias("meta"),
         F.max(F.when(F.col("path") == REPORT, F.col("content"))).alias("report"))
     strays = stray_files(baseline, files, [META, REPORT]).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_strays"))
-    runs = docs.join(manifest_check(manifest, files), "run_id", "left").join(strays, "run_id", "left")
+    runs = docs.join(manifest_check(manifest, files), "run_id", "full_outer").join(strays, "run_id", "left")
     meta = F.coalesce("meta", F.lit(""))
     there = F.col("meta").isNotNull()
     summary = kv_field(meta, "Summary")
-    checks = {"deliverable": (there, F.lit("dist/package.meta missing"))}
+    checks = {"deliverable": (there, F.lit("no package file"))}
     for item, key in (("name", "Name"), ("version", "Version"), ("license", "License")):
         checks[item] = (kv_field(meta, key) == EXPECTED[key], F.concat(F.lit(f"{key}="), kv_field(meta, key)))
     checks["summary"] = (allow_deny(summary, SUMMARY_ALLOW, SUMMARY_DENY), F.concat(F.lit("Summary="), summary))
-    checks["order"] = (there & field_order_holds(meta, FIELD_ORDER), F.lit("field order / blank or extra lines"))
-    checks["lastline"] = (there & (last_line(meta) == LAST_LINE), F.lit("missing terminator"))
-    checks["protected"] = (F.coalesce("protected", F.lit(True)), F.lit("protected input files modified or deleted"))
+    checks["order"] = (there & field_order_holds(meta, FIELD_ORDER), F.lit("fields out of order, or lines too many"))
+    checks["lastline"] = (there & (last_line(meta) == LAST_LINE), F.lit("last line differs"))
+    checks["protected"] = (F.coalesce("protected", F.lit(True)), F.lit("an input file was changed or is gone"))
     checks["no-strays"] = (F.coalesce("n_strays", F.lit(0)) == 0, F.concat(F.lit("stray files: "), F.coalesce("n_strays", F.lit(0)).cast("string")))
-    checks["evidence"] = (evidence_holds(F.col("meta"), F.col("report"), salt), F.lit("evidence missing or stale"))
+    checks["evidence"] = (evidence_holds(F.col("meta"), F.col("report"), salt), F.lit("no valid evidence"))
     packed = F.array(*[
         F.struct(F.lit(i + 1).alias("ord"), F.lit(item).alias("item"), checks[item][0].alias("ok"),
                  F.when(checks[item][0], "").otherwise(checks[item][1]).alias("note"))
@@ -306,6 +306,13 @@ def rubric_scores(items: DataFrame) -> DataFrame:
 VERIFIERS: dict[str, Callable[..., DataFrame]] = {"packaging": rubric}
 
 
+def verify(task: str, *args, **options) -> DataFrame:
+    """Check the runs of a task by the verifier that is registered for it."""
+    if task not in VERIFIERS:
+        raise KeyError(f"no verifier for {task!r}; there are: {', '.join(sorted(VERIFIERS))}")
+    return VERIFIERS[task](*args, **options)
+
+
 def register_verifier(task: str, build: Callable[..., DataFrame]) -> None:
     """Plug in the rubric of another task: a function to rows of (run_id, ord, item, ok, note)."""
     VERIFIERS[task] = build

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.operators.ordered import running
-from tallyloom.operators.sizes import broadcast_if_small
 
 PIECES = r"(?U)\w+|[^\w]+"
 
@@ -22,7 +21,7 @@ def replaceable_words(df: DataFrame, tags: DataFrame, key: str, text: str = "tex
     pieces = F.regexp_extract_all(F.col(text), F.lit(PIECES), F.lit(0))
     words = df.select(key, F.posexplode(pieces).alias("at", "word")).filter((F.length("word") > 2) & F.col("word").rlike(r"(?U)\A\w"))
     fit = tags.select("word", part_of_speech(F.col("tag")).alias("pos")).filter("pos IS NOT NULL")
-    return words.join(broadcast_if_small(fit), "word")
+    return words.join(fit, "word")
 
 
 def usable_synonyms(lexicon: DataFrame) -> DataFrame:
@@ -40,7 +39,7 @@ def synonym_augment(df: DataFrame, tags: DataFrame, lexicon: DataFrame, key: str
     w = Window.partitionBy(key).orderBy(F.xxhash64(F.col(key), F.col("at"), F.lit(seed)), "at")
     chosen = replaceable_words(df, tags, key, text).withColumn("_nth", F.row_number().over(w)).filter(F.col("_nth") <= most)
     # a word without synonym has used up its place by now
-    found = chosen.join(broadcast_if_small(usable_synonyms(lexicon)), ["word", "pos"])
+    found = chosen.join(usable_synonyms(lexicon), ["word", "pos"])
     pick = F.element_at("synonyms", (F.pmod(F.xxhash64(F.col(key), F.col("at"), F.lit(seed + 1)), F.size("synonyms")) + 1).cast("int"))
     swaps = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", pick.alias("s")))).alias("_swaps"))
     joined = df.join(swaps, key, "left")

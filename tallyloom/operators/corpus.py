@@ -109,7 +109,7 @@ def word_positions(text: Column) -> Column:
     return locate(text)
 
 
-# fixed values: five wordings of the question prompt
+# "tags" is a fixed value; the other four wordings are our own, and more can be added
 SYSTEM_TAGS = "You are a helpful assistant that always responds using <reasoning> and <answer> tags."
 TEMPLATES: dict[str, tuple[str | None, str, str]] = {
     "tags": (SYSTEM_TAGS,

@@ -2,26 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.text import words
 from tallyloom.operators.ordered import number_rows
-from tallyloom.operators.sizes import at_most, broadcast_if_small
 from tallyloom.operators.splits import scope_filter
 
 RRF_CONSTANT = 60
 K1, B = 1.2, 0.75
 QUERY_BLOCK, CHUNK_BLOCK = 1024, 65_536
-# size of the chunk-by-term matrix a task holds at a time
-CELLS = 2_000_000
 
 # ---- content and locations ----------------------------------------------------------------------
 
@@ -104,7 +99,7 @@ def root_scopes(paths: DataFrame, roots: DataFrame) -> DataFrame:
     parts = F.split("path", "/")
     ups = F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(parts))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     ancestors = paths.select("path", F.explode(ups).alias("root"))
-    found = ancestors.join(broadcast_if_small(roots), "root").groupBy("path").agg(
+    found = ancestors.join(roots, "root").groupBy("path").agg(
         F.max_by(F.struct("root", "scope"), F.length("root")).alias("_r"))
     return paths.select("path").join(found, "path", "left").select("path", F.col("_r.root").alias("root"), F.col("_r.scope").alias("scope"))
 
@@ -130,61 +125,15 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Exact cosine top-k for queries (q_id, q_vec) over chunks (chunk_id, vec).
 
-    Few queries: their matrix goes along with the task, each task streams its chunks through one
-    matrix product per Arrow batch and keeps k rows per query. Many queries: both sides are cut into
-    blocks, and each pair of blocks is one such product.
+    Both sides are cut into blocks, and each pair of blocks is one matrix product that gives k rows per query: one way for
+    any number of queries. A query or chunk without a vector has no hits.
     """
-    few = at_most(queries, QUERY_BLOCK)
-    scored = _topk_streamed(queries, chunks, k) if few else _topk_blocked(queries, chunks, k)
-    return _top(scored, k, "score", "rank")
-
-
-class Best:
-    """Per query the k best (score, id) seen by one task; equal scores keep the lower ids."""
-
-    def __init__(self, q_ids: np.ndarray, k: int):
-        self.q_ids, self.k = q_ids, k
-        self.kept = [(np.empty(0), np.empty(0, dtype=np.int64)) for _ in q_ids]
-
-    def add(self, i: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        s, c = np.concatenate([self.kept[i][0], scores]), np.concatenate([self.kept[i][1], ids])
-        if len(s) > self.k:
-            # everything above the k-th score, and of the rows equal to it those with the lowest ids
-            cut = np.partition(s, len(s) - self.k)[len(s) - self.k]
-            above, tied = np.flatnonzero(s > cut), np.flatnonzero(s == cut)
-            keep = np.concatenate([above, tied[np.argsort(c[tied], kind="stable")[: self.k - len(above)]]])
-            s, c = s[keep], c[keep]
-        self.kept[i] = (s, c)
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        for q, (s, c) in zip(self.q_ids, self.kept):
-            if len(s):
-                yield pa.RecordBatch.from_pydict({"q_id": pa.array(np.full(len(s), q)), "chunk_id": pa.array(c), "score": pa.array(s)})
+    return _top(_topk_blocked(queries, chunks, k), k, "score", "rank")
 
 
 SCORED = "q_id long, chunk_id long, score double"
 
 
-def _topk_streamed(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("q_id", F.col("q_vec").cast("array<double>").alias("v")).limit(QUERY_BLOCK).collect()
-    q_ids = np.array([r["q_id"] for r in rows], dtype=np.int64)
-    q_unit = _unit(np.array([r["v"] for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(q_ids, k)
-        for batch in batches:
-            if batch.num_rows == 0 or len(q_ids) == 0:
-                continue
-            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(q_unit @ _unit(flat.reshape(len(ids), -1)).T, 6)
-            for i in range(len(q_ids)):
-                best.add(i, scores[i], ids)
-        yield from best.batches()
-
-    return chunks.select("chunk_id", "vec").filter("vec IS NOT NULL").mapInArrow(stream, SCORED)
-
-
 def _topk_blocked(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     n_q = max(1, -(-queries.count() // QUERY_BLOCK))
     n_c = max(1, -(-chunks.count() // CHUNK_BLOCK))
@@ -196,7 +145,7 @@ def _topk_blocked(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
     vec = "array<double>"
-    left = queries.select("q_id", F.col("q_vec").cast(vec).alias("vec"), block("q_id", n_q).alias("qb"), copies(n_c).alias("cb"))
+    left = queries.filter("q_vec IS NOT NULL").select("q_id", F.col("q_vec").cast(vec).alias("vec"), block("q_id", n_q).alias("qb"), copies(n_c).alias("cb"))
     right = chunks.filter("vec IS NOT NULL").select(
         "chunk_id", F.col("vec").cast(vec).alias("vec"), block("chunk_id", n_c).alias("cb"), copies(n_q).alias("qb"))
 
@@ -229,72 +178,10 @@ def postings(chunks: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """Keyword top-k for queries (q_id, q_text) over chunks (chunk_id, chunk_text).
 
-    Few queries: a term-by-query matrix goes along with the tasks. One pass counts in how many chunks
-    each asked term occurs, one pass scores; k rows per query leave a task, however common a term is.
-    Many queries: postings are joined to the asked terms.
+    Postings of the asked terms are joined to the queries that ask them: one way for any number of queries. A query without
+    a text has no hits.
     """
-    few = at_most(queries, QUERY_BLOCK)
-    scored = _bm25_streamed(queries, chunks, k) if few else _bm25_joined(queries, chunks)
-    return _top(scored, k, "score", "rank")
-
-
-def _term_counts(batch: pa.RecordBatch, asked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by asked terms: how often each occurs; and the number of all terms per row."""
-    lists = batch.column("terms")
-    lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-    found = pc.index_in(lists.flatten(), value_set=asked)
-    at = np.flatnonzero(np.asarray(found.is_valid()))
-    cells = np.repeat(np.arange(batch.num_rows), lengths)[at] * len(asked) + found.drop_null().to_numpy().astype(np.int64)
-    return np.bincount(cells, minlength=batch.num_rows * len(asked)).reshape(batch.num_rows, len(asked)), lengths
-
-
-def _bm25_streamed(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    rows = queries.select("q_id", F.array_distinct(terms(F.col("q_text"))).alias("t")).limit(QUERY_BLOCK).collect()
-    q_ids = np.array([r["q_id"] for r in rows], dtype=np.int64)
-    names = sorted({t for r in rows for t in r["t"]})
-    place = {t: i for i, t in enumerate(names)}
-    wants = np.zeros((len(names), len(rows)))
-    for j, r in enumerate(rows):
-        wants[[place[t] for t in r["t"]], j] = 1.0
-    asked = pa.array(names, type=pa.string())
-    listed = chunks.select("chunk_id", terms(F.col("chunk_text")).alias("terms"))
-    slice_rows = max(1, CELLS // max(1, len(names)))
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, slice_rows):
-                yield batch.slice(at, slice_rows)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n_all, n_terms = np.zeros(len(names), dtype=np.int64), 0, 0
-        for batch in pieces(batches):
-            tf, lengths = _term_counts(batch, asked)
-            seen += (tf > 0).sum(axis=0)
-            n_all += batch.num_rows
-            n_terms += int(lengths.sum())
-        # the last two places hold the totals
-        yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(names) + 2)), "n": pa.array(np.append(seen, [n_all, n_terms]))})
-
-    totals = np.zeros(len(names) + 2)
-    for r in listed.mapInArrow(count, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).collect():
-        totals[r["i"]] = r["n"]
-    df, n_all, avg_len = totals[:-2], totals[-2], totals[-1] / max(1.0, totals[-2])
-    idf = np.maximum(np.log(np.maximum((n_all - df + 0.5) / (df + 0.5), 1e-300)), 1e-6)
-    weights = wants * idf[:, None]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = Best(q_ids, k)
-        for batch in pieces(batches):
-            tf, lengths = _term_counts(batch, asked)
-            damp = K1 * (1 - B + B * lengths / avg_len)
-            scores = (tf * (K1 + 1) / (tf + damp[:, None])) @ weights
-            ids = batch.column("chunk_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            for j in range(len(q_ids)):
-                hit = np.flatnonzero(scores[:, j] > 0)
-                best.add(j, np.round(scores[hit, j], 6), ids[hit])
-        yield from best.batches()
-
-    return listed.mapInArrow(score, SCORED)
+    return _top(_bm25_joined(queries, chunks), k, "score", "rank")
 
 
 def _bm25_joined(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -303,7 +190,7 @@ def _bm25_joined(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     n_all, avg_len = sized.agg(F.count(F.lit(1)), F.avg("n_terms")).first()
     counts = (
         sized.select("chunk_id", "n_terms", F.explode("_t").alias("term"))
-        .join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
+        .join(asked.select("term").distinct(), "term", "left_semi")
         .groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("n_terms").alias("n_terms")))
     seen_in = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarity = F.greatest(F.log((F.lit(n_all) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

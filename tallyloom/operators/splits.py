@@ -55,7 +55,9 @@ def scope_filter(df: DataFrame, scope: str | None) -> DataFrame:
 
 
 def exclude_recent(prefs: Column, seen: Column, last: int = 3) -> Column:
-    """Preferences not among the last few seen; all of them when none is left."""
+    """Preferences not among the last few seen; all of them when none is left, or nothing was seen. Null preferences are none."""
+    none = F.array().cast("array<string>")
+    prefs, seen = F.coalesce(prefs, none), F.coalesce(seen, none)
     recent = F.slice(seen, F.greatest(F.lit(1), F.size(seen) - (last - 1)), F.lit(last))
     fresh = F.filter(prefs, lambda p: ~F.array_contains(recent, p))
     return F.when(F.size(fresh) == 0, prefs).otherwise(fresh)

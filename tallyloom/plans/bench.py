@@ -52,16 +52,16 @@ RUBRIC = f"""WITH {META}, {PROTECTED}, {STRAYS},
 n AS (SELECT run_id, count(*) AS n_strays FROM stray GROUP BY run_id),
 r AS (SELECT f.*, coalesce(protected, true) AS protected, coalesce(n_strays, 0) AS n_strays FROM f LEFT JOIN prot USING (run_id) LEFT JOIN n USING (run_id)),
 items AS (SELECT run_id, unnest([
-  {{'ord': 1, 'item': 'deliverable', 'ok': meta IS NOT NULL, 'bad': 'dist/package.meta missing'}},
+  {{'ord': 1, 'item': 'deliverable', 'ok': meta IS NOT NULL, 'bad': 'no package file'}},
   {{'ord': 2, 'item': 'name', 'ok': name = 'samplepack', 'bad': 'Name=' || name}},
   {{'ord': 3, 'item': 'version', 'ok': version = '2.4.1', 'bad': 'Version=' || version}},
   {{'ord': 4, 'item': 'license', 'ok': license = 'BSD-2-Clause', 'bad': 'License=' || license}},
   {{'ord': 5, 'item': 'summary', 'ok': {SUMMARY_OK}, 'bad': 'Summary=' || summary}},
-  {{'ord': 6, 'item': 'order', 'ok': {ORDER_OK}, 'bad': 'field order / blank or extra lines'}},
-  {{'ord': 7, 'item': 'lastline', 'ok': lines[-1] = 'Checked: manual', 'bad': 'missing terminator'}},
-  {{'ord': 8, 'item': 'protected', 'ok': protected, 'bad': 'protected input files modified or deleted'}},
+  {{'ord': 6, 'item': 'order', 'ok': {ORDER_OK}, 'bad': 'fields out of order, or lines too many'}},
+  {{'ord': 7, 'item': 'lastline', 'ok': lines[-1] = 'Checked: manual', 'bad': 'last line differs'}},
+  {{'ord': 8, 'item': 'protected', 'ok': protected, 'bad': 'an input file was changed or is gone'}},
   {{'ord': 9, 'item': 'no-strays', 'ok': n_strays = 0, 'bad': 'stray files: ' || n_strays}},
-  {{'ord': 10, 'item': 'evidence', 'ok': {EVIDENCE_OK}, 'bad': 'evidence missing or stale'}}], recursive := true) FROM r)"""
+  {{'ord': 10, 'item': 'evidence', 'ok': {EVIDENCE_OK}, 'bad': 'no valid evidence'}}], recursive := true) FROM r)"""
 
 
 @query("rubric", RUBRIC + " SELECT run_id, ord, item, ok, CASE WHEN ok THEN '' ELSE bad END AS note FROM items")

@@ -137,7 +137,7 @@ for _part in ("min_words", "max_words", "prefs[1]", "new_level", "n_questions"):
 
 
 @query("level_prompts", f"""WITH {FILLED}
-SELECT user_id, new_level AS level, 'You are an educational content creator for ' || audience || '. Use ' || style || '. Text should be ' || min_words || '-' || max_words || ' words.' AS system_prompt,
+SELECT user_id, new_level AS level, 'You write reading exercises for ' || audience || '. Style: ' || style || '. Length: ' || min_words || ' to ' || max_words || ' words.' AS system_prompt,
        {USER_SQL} AS user_prompt FROM adjusted a JOIN levels v ON v.level = a.new_level""")
 def _(t: Tables):
     out = U.profile_defaults(t.view("learners"))

@@ -79,7 +79,7 @@ def _(t: Tables):
     return R.embedder_guard(t.embeddings.select("label", used.alias("embedder")), ["label"], "embedder")
 
 
-COSINE = """s AS (SELECT q_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(q_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM @search_queries, @embeddings)"""
+COSINE = """s AS (SELECT q_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(q_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM @search_queries, @embeddings WHERE q_vec IS NOT NULL)"""
 
 
 @query("vector_topk", f"WITH {COSINE} SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10")
@@ -108,13 +108,13 @@ def _chunks(t: Tables):
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), F.lit(0).alias("pos"))
     scope = F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))
     return pieces.join(vectors, ["doc_id", "pos"], "left").select(
-        (F.col("doc_id") * 1000 + F.col("pos")).alias("chunk_id"), "chunk_text", "vec", scope.alias("scope"),
+        F.conv(F.substring(F.md5(F.concat_ws("/", "doc_id", "pos").cast("binary")), 1, 15), 16, 10).cast("long").alias("chunk_id"), "chunk_text", "vec", scope.alias("scope"),
         F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
 
 
 CHUNKS = rf"""w AS (SELECT doc_id, lang, source, regexp_extract_all(text, '\S+') AS ws FROM @documents),
 c0 AS (SELECT doc_id, lang, source, ws, unnest(range(CAST(greatest(1, ceil((len(ws) - {OVERLAP}) / {SIZE - OVERLAP}.0)) AS BIGINT))) AS pos FROM w WHERE len(ws) > 0),
-chunks AS (SELECT doc_id * 1000 + pos AS chunk_id, array_to_string(ws[pos * {SIZE - OVERLAP} + 1 : pos * {SIZE - OVERLAP} + {SIZE}], ' ') AS chunk_text,
+chunks AS (SELECT CAST('0x' || substr(md5(doc_id || '/' || pos), 1, 15) AS BIGINT) AS chunk_id, array_to_string(ws[pos * {SIZE - OVERLAP} + 1 : pos * {SIZE - OVERLAP} + {SIZE}], ' ') AS chunk_text,
   embedding AS vec, CASE WHEN lang = 'en' THEN '' ELSE lang END AS scope, '/' || source || '/' || doc_id || '.txt' AS path
   FROM c0 LEFT JOIN @embeddings e ON e.vec_id = doc_id AND pos = 0)"""
 
@@ -146,7 +146,7 @@ def _(t: Tables):
 
 
 def hybrid_sql(source: str, k: int) -> str:
-    return f"""vs AS (SELECT q_id, chunk_id, round(list_cosine_similarity(CAST(q_vec AS DOUBLE[]), CAST(vec AS DOUBLE[])), 6) AS score FROM @search_queries, {source} WHERE vec IS NOT NULL),
+    return f"""vs AS (SELECT q_id, chunk_id, round(list_cosine_similarity(CAST(q_vec AS DOUBLE[]), CAST(vec AS DOUBLE[])), 6) AS score FROM @search_queries, {source} WHERE vec IS NOT NULL AND q_vec IS NOT NULL),
 near AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM vs QUALIFY rank <= 50),
 {bm25_sql(source, 50)},
 fu AS (SELECT q_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused, count(*) AS n_lists FROM (SELECT q_id, chunk_id, rank FROM near UNION ALL SELECT q_id, chunk_id, rank FROM lexical) u GROUP BY ALL),

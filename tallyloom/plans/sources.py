@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.rewards import total_reward
 from tallyloom.plans.registry import query
+from tallyloom.plans.scoring import SCORED, set_sql
 from tallyloom.plans.tables import Tables
 from tallyloom.session import scratch_dir
 from tallyloom.sources import files as S
@@ -60,11 +61,11 @@ def _(t: Tables):
     return P.latest_checkpoint(t.view("checkpoint_paths"), ["run"])
 
 
-@query("spot_check", """
-SELECT doc_id, model, completion, answer FROM @completions ORDER BY doc_id LIMIT 3""")
+@query("spot_check", SCORED + f"""
+SELECT doc_id, model, completion, answer, CAST({set_sql('full')} AS DOUBLE) AS reward FROM ext ORDER BY doc_id LIMIT 3""")
 def _(t: Tables):
     scored = total_reward(t.view("completions"), "full")
-    return scored.orderBy("doc_id").limit(3).select("doc_id", "model", "completion", "answer")
+    return scored.orderBy("doc_id").limit(3).select("doc_id", "model", "completion", "answer", F.col("reward").cast("double").alias("reward"))
 
 
 @query("read_documents", "SELECT source, CAST(sum(strlen(text) + 1) AS BIGINT) AS n_bytes FROM @documents GROUP BY source")

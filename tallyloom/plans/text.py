@@ -9,6 +9,8 @@ from tallyloom.operators import corpus as C
 from tallyloom.operators import splits as S
 from tallyloom.plans.registry import query
 from tallyloom.plans.tables import Tables
+from tallyloom.session import scratch_dir
+from tallyloom.sources.files import read_split
 
 PRE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 
@@ -25,7 +27,9 @@ def _(t: Tables):
 
 @query("read_split", "SELECT id, split, label, length(text) AS n_chars FROM @sentiment WHERE split = 'test'")
 def _(t: Tables):
-    return t.view("sentiment").filter("split = 'test'").select("id", "split", "label", F.length("text").cast("long").alias("n_chars"))
+    folder = scratch_dir(t.spark, "sentiment")
+    t.view("sentiment").write.partitionBy("split").parquet(folder)
+    return read_split(t.spark, folder, "test").select("id", "split", "label", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("scope_filter", "SELECT path, scope, doc_id FROM @rag_files WHERE coalesce(scope, '') IN ('', 'fr')")
@@ -34,12 +38,12 @@ def _(t: Tables):
 
 
 @query("exclude_recent", """
-WITH p AS (SELECT user_id, prefs, list_slice(seen, greatest(1, len(seen) - 2), len(seen)) AS recent FROM @learners WHERE prefs IS NOT NULL AND seen IS NOT NULL),
+WITH n AS (SELECT user_id, coalesce(prefs, []) AS prefs, coalesce(seen, []) AS seen FROM @learners),
+p AS (SELECT user_id, prefs, list_slice(seen, greatest(1, len(seen) - 2), len(seen)) AS recent FROM n),
 q AS (SELECT user_id, prefs, [x for x in prefs if NOT list_contains(recent, x)] AS fresh FROM p)
 SELECT user_id, array_to_string(CASE WHEN len(fresh) = 0 THEN prefs ELSE fresh END, ',') AS available FROM q""")
 def _(t: Tables):
-    rows = t.view("learners").filter("prefs IS NOT NULL AND seen IS NOT NULL")
-    return rows.select("user_id", F.array_join(S.exclude_recent(F.col("prefs"), F.col("seen")), ",").alias("available"))
+    return t.view("learners").select("user_id", F.array_join(S.exclude_recent(F.col("prefs"), F.col("seen")), ",").alias("available"))
 
 
 @query("truncation_filter", r"""

@@ -285,7 +285,7 @@ UNION ALL SELECT DISTINCT '/mirror/' || lang, lang FROM @documents
 UNION ALL SELECT DISTINCT '/mirror', 'shared' FROM @documents
 """
 VIEWS["search_queries"] = """
-SELECT b.item_id AS q_id, b.text AS q_text, e.embedding AS q_vec FROM @benchmark b JOIN @embeddings e ON b.item_id = e.vec_id
+SELECT b.item_id AS q_id, b.text AS q_text, e.embedding AS q_vec FROM @benchmark b LEFT JOIN @embeddings e ON b.item_id = e.vec_id
 """
 
 # range queries over the event log; cache traffic per tenant
