@@ -20,11 +20,18 @@ from tallyloom.streaming import runs as S
 class StreamTables(Tables):
     """The same tables and derived views, read as streams of files."""
 
+    #: None: all files that are there make one trigger
+    files_per_trigger: int | None = None
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BASE:
             raise AttributeError(name)
         schema = self.spark.read.parquet(f"{self.folder}/{name}.parquet").schema
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        # as a pattern the path may be one file or a folder of part files
+        reader = self.spark.readStream.schema(schema)
+        if self.files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", self.files_per_trigger)
+        return reader.parquet(f"{self.folder}/{name}.parque[t]")
 
     @property
     def prefix(self) -> str:
@@ -81,9 +88,8 @@ def _(t: Tables):
 
 @query("stream_order_states", ORDER_WALK.replace("@order_events", "@shipments"))
 def _(t: Tables):
-    # all files are there at once, so every order is advanced in one trigger; its row is the last state
     events = _live(t, "shipments")
-    return S.run_to_end(S.stream_order_states(events), scratch_dir(t.spark, "orders"), "update")
+    return S.run_to_end(S.stream_order_states(events), scratch_dir(t.spark, "orders"), "update", key=["order_id"])
 
 
 @query("stream_cache")

@@ -41,8 +41,8 @@ def append_batches(folder: str) -> BatchFn:
     return handle
 
 
-def run_to_end(stream: DataFrame, folder: str, mode: str = "append", handle: BatchFn | None = None) -> DataFrame:
-    """Process what is there now and give back the sink. For complete mode: the last state."""
+def run_to_end(stream: DataFrame, folder: str, mode: str = "append", handle: BatchFn | None = None, key: list[str] | None = None) -> DataFrame:
+    """Process what is there now and give back the sink. For complete mode: the last state; for update mode: the last row of each key, if one is given."""
     seen: list[int] = []
     inner = handle or append_batches(f"{folder}/rows")
 
@@ -55,7 +55,11 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append", handle: Bat
     spark = stream.sparkSession
     if mode == "complete":
         return spark.read.parquet(batch_folder(f"{folder}/rows", max(seen)))
-    return spark.read.parquet(f"{folder}/rows").drop("batch")
+    rows = spark.read.parquet(f"{folder}/rows")
+    if mode == "update" and key:
+        last = F.max_by(F.struct(*[c for c in rows.columns if c != "batch"]), "batch").alias("last")
+        return rows.groupBy(*key).agg(last).select("last.*")
+    return rows.drop("batch")
 
 
 def stream_accuracy(completions: DataFrame) -> DataFrame:
