@@ -9,6 +9,7 @@ by as many tasks as there are ranges, and the results equal those of the plain w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -21,13 +22,22 @@ from tallyloom.session import spread
 RANGE = "_range"
 
 
-def range_splits(df: DataFrame, column: str, pieces: int | None = None) -> list[float]:
-    """Boundaries of about equal-height ranges of a numeric column; a list of ``pieces`` numbers."""
-    pieces = pieces or spread(df.sparkSession)
+#: Rows that a range may have before more ranges are cut
+ROWS_PER_RANGE = 1_000_000
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _marks(df: DataFrame, column: str, pieces: int | None) -> list[float]:
+    """Values at which ranges of about equal height end; a value that fills several ranges is there several times."""
+    pieces = pieces or max(spread(df.sparkSession), -(-df.count() // ROWS_PER_RANGE))
     probs = [i / pieces for i in range(1, pieces)]
     # a tenth of a range is close enough: the ranges only balance work
-    marks = df.approxQuantile(column, probs, min(0.1 / pieces, 0.01)) if probs else []
-    return [float("-inf"), *sorted(set(marks)), float("inf")]
+    return sorted(df.approxQuantile(column, probs, min(0.1 / pieces, 0.01))) if probs else []
+
+
+def range_splits(df: DataFrame, column: str, pieces: int | None = None) -> list[float]:
+    """Boundaries of about equal-height ranges of a numeric column; a list of ``pieces`` numbers."""
+    return [float("-inf"), *sorted(set(_marks(df, column, pieces))), float("inf")]
 
 
 def add_range(df: DataFrame, column: str, splits: Sequence[float]) -> DataFrame:
@@ -37,6 +47,30 @@ def add_range(df: DataFrame, column: str, splits: Sequence[float]) -> DataFrame:
     return cut.transform(widened).drop("_rangekey").withColumn(RANGE, F.col(RANGE).cast("int"))
 
 
+def cut_ranges(df: DataFrame, order: Sequence[str], pieces: int | None = None) -> DataFrame:
+    """Attach the range of each row in the order of the whole key.
+
+    A value of ``order[0]`` that fills two ranges or more gets a range of its own, which is cut again by ``order[1]``, so that
+    one value in most rows does not put them all into one range.
+    """
+    marks = _marks(df, order[0], pieces)
+    heavy = {v: marks.count(v) for v in set(marks) if marks.count(v) > 1}
+    if not heavy or len(order) < 2 or dict(df.dtypes)[order[1]] not in NUMERIC:
+        return add_range(df, order[0], [float("-inf"), *sorted(set(marks)), float("inf")])
+    values = sorted({*marks, *(math.nextafter(v, math.inf) for v in heavy)})
+    splits = [float("-inf"), *values, float("inf")]
+    cut = add_range(df, order[0], splits)
+    bucket = {1 + values.index(v): n for v, n in heavy.items()}
+    # one row per heavy value, as many numbers in all as there are ranges
+    most = max(bucket.values()) + 1
+    tied = cut.where(F.col(RANGE).isin(list(bucket))).groupBy(RANGE).agg(
+        F.percentile_approx(F.col(order[1]).cast("double"), [i / most for i in range(1, most)], max(10_000, 20 * most)).alias("q"))
+    inner = {r[RANGE]: sorted(set(r["q"])) for r in tied.collect()}
+    places = F.create_map(*[x for k, q in inner.items() for x in (F.lit(k), F.array(*map(F.lit, q)))])
+    within = F.size(F.filter(F.try_element_at(places, F.col(RANGE)), lambda m: m <= F.col(order[1]).cast("double")))
+    return cut.withColumn(RANGE, F.col(RANGE).cast("long") * (1 << 20) + F.greatest(F.lit(0), F.coalesce(within, F.lit(0))))
+
+
 _LOCAL = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 
 
@@ -64,8 +98,7 @@ def running(
     ``order[0]`` must be numeric and ``order`` unique per key. ``last`` is the latest non-null value.
     ``inclusive=False`` leaves the current row out.
     """
-    splits = splits if splits is not None else range_splits(df, order[0])
-    cut = add_range(df, order[0], splits)
+    cut = cut_ranges(df, order) if splits is None else add_range(df, order[0], splits)
     for name, (_, column) in measures.items():
         cut = cut.withColumn(f"_in_{name}", column)
     group = [*keys, RANGE]
@@ -107,8 +140,7 @@ def neighbour(
     splits: Sequence[float] | None = None,
 ) -> DataFrame:
     """Add columns of the previous (or next) row per key. ``columns``: new name -> source column."""
-    splits = splits if splits is not None else range_splits(df, order[0])
-    cut = add_range(df, order[0], splits)
+    cut = cut_ranges(df, order) if splits is None else add_range(df, order[0], splits)
     group = [*keys, RANGE]
     inside = Window.partitionBy(*group).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(RANGE)

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-HASH_BITS = 12
+from tallyloom.session import spread
+
+ROWS_PER_CELL = 1_000_000
 
 
 def hash_order(key: str, seed: int) -> Column:
@@ -19,13 +21,14 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int, name: str = "position") -
     Hashes are uniform, so their leading bits cut the table into ranges of equal height without a
     sample: rows are ranked inside a range and shifted by the size of the ranges before it.
     """
-    marked = df.withColumn("_hash", hash_order(key, seed)).withColumn("_cell", F.shiftright("_hash", 64 - HASH_BITS))
+    cells = max(spread(df.sparkSession), -(-df.count() // ROWS_PER_CELL))
+    marked = df.withColumn("_hash", hash_order(key, seed)).withColumn("_cell", F.shiftright("_hash", 64 - (cells - 1).bit_length()))
     inside = F.row_number().over(Window.partitionBy("_cell").orderBy("_hash", key))
-    # one row per range: at most 2 ** HASH_BITS of them
+    # one row per range
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     sizes = marked.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).select(
         "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    placed = marked.withColumn("_inside", inside).join(F.broadcast(sizes), "_cell")
+    placed = marked.withColumn("_inside", inside).join(sizes, "_cell")
     return placed.withColumn(name, F.col("_inside") + F.col("_before")).drop("_hash", "_cell", "_inside", "_before")
 
 

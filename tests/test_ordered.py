@@ -87,3 +87,13 @@ def test_exclude_recent(spark):
     cases = [(["a", "b", "a"], ["b"], ["a", "a"]), (["a"], ["a"], ["a"]), (["a", "b"], [], ["a", "b"]), (["a", "b"], ["a", "x", "y", "z"], ["a", "b"])]
     df = spark.createDataFrame([(p, s) for p, s, _ in cases], "p array<string>, s array<string>")
     assert [r[0] for r in df.select(S.exclude_recent(F.col("p"), F.col("s"))).collect()] == [w for _, _, w in cases]
+
+
+def test_a_value_in_most_rows_is_cut_by_the_next_column(spark):
+    rng = random.Random(4)
+    rows = [(5 if rng.random() < 0.9 else rng.randint(0, 100), i) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "v long, i long")
+    sizes = [r["count"] for r in O.cut_ranges(df, ["v", "i"], 20).groupBy(O.RANGE).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 2 * len(rows) / len(sizes)
+    got = {(r["v"], r["i"]): r["n"] for r in O.number_rows(df, [], ["v", "i"], "n").collect()}
+    assert all(got[r] == n for n, r in enumerate(sorted(rows), 1))
