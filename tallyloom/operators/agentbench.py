@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.operators.ordered import neighbour
+from tallyloom.operators.ordered import neighbour, number_rows
 
 # fixed values: rubric items in report order, the axis each one tests, and where four of them move
 ITEMS = ("deliverable", "name", "version", "license", "summary", "order", "lastline", "protected", "no-strays", "evidence")
@@ -63,12 +63,25 @@ def duration(start: str, end: str) -> Column:
     return F.col(end) - F.col(start)
 
 
-def summary_table(df: DataFrame) -> DataFrame:
-    """One printable row per run."""
-    return with_verdict(df).select(
+def failed_items(items: DataFrame) -> DataFrame:
+    """Names of the items that did not hold, per run and in the fixed item order."""
+    failed = F.when(~F.col("ok"), F.struct(item_order(F.col("item")).alias("ord"), "item"))
+    return items.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(failed)), lambda s: s["item"]), ",").alias("fails"))
+
+
+def summary_table(df: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """One printable row per run; with rubric items (run_id, item, ok) also the failed ones and the order of execution per session."""
+    if items is not None:
+        nth = number_rows(with_verdict(df), ["session"], ["started", "run_id"], "nth").join(failed_items(items), "run_id", "left")
+        return _summary(nth, "nth", F.coalesce("fails", F.lit("")).alias("fails"))
+    return _summary(with_verdict(df))
+
+
+def _summary(df: DataFrame, *more: str | Column) -> DataFrame:
+    return df.select(
         "model", "task", "run", "verdict", F.coalesce(score_text(F.col("passed"), F.col("total")), F.lit("-")).alias("score"),
         F.concat(duration("started", "ended").cast("string"), F.lit("s")).alias("time"),
-        F.when(F.col("verdict") == "FAIL", F.col("note")).otherwise("").alias("note"))
+        F.when(F.col("verdict") == "FAIL", F.col("note")).otherwise("").alias("note"), *more)
 
 
 def item_axis(df: DataFrame) -> DataFrame:

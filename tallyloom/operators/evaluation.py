@@ -24,8 +24,18 @@ def mark_correct(df: DataFrame, reply: str, truth: str, out: str, *, truthy: boo
     return df.withColumn(out, F.coalesce(right, F.lit(False))).drop("_found")
 
 
-def eval_accuracy(df: DataFrame, by: list[str], reply: str = "completion", truth: str = "answer") -> DataFrame:
-    """Correct answers and well-formed replies per group: one scan, partial aggregation."""
+def completion_only(reply: Column, prompt: Column) -> Column:
+    """A model's output without the prompt in front of it; an output that does not begin with the prompt stays as it is."""
+    return F.when(F.startswith(reply, prompt), F.substring(reply, F.length(prompt) + 1, F.length(reply))).otherwise(reply)
+
+
+def eval_accuracy(df: DataFrame, by: list[str], reply: str = "completion", truth: str = "answer", strip_prompt: str | None = None) -> DataFrame:
+    """Correct answers and well-formed replies per group: one scan, partial aggregation.
+
+    ``strip_prompt`` names a column with the prompt, for outputs that repeat it: its own tags must not be read as an answer.
+    """
+    if strip_prompt:
+        df = df.withColumn(reply, completion_only(F.col(reply), F.col(strip_prompt)))
     marked = mark_correct(df, reply, truth, "_right").withColumn("_formed", F.col(reply).rlike(SOFT))
     return marked.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),

@@ -34,9 +34,11 @@ def _(t: Tables):
 
 @query("summary_table", RUNS + """
 SELECT model, task, run, verdict, passed || '/' || total || ' (' || (100 * passed // total) || '%)' AS score, (ended - started) || 's' AS time,
-       CASE WHEN verdict = 'FAIL' THEN note ELSE '' END AS note FROM v""")
+       CASE WHEN verdict = 'FAIL' THEN note ELSE '' END AS note, row_number() OVER (PARTITION BY v.session ORDER BY started, v.run_id) AS nth, coalesce(f.fails, '') AS fails
+FROM v LEFT JOIN (SELECT run_id, string_agg(item, ',' ORDER BY list_position(['deliverable', 'name', 'version', 'license', 'summary', 'order', 'lastline', 'protected', 'no-strays', 'evidence'], item))
+  FILTER (NOT ok) AS fails FROM @rubric_items GROUP BY run_id) f ON v.run_id = f.run_id""")
 def _(t: Tables):
-    return B.summary_table(t.view("agent_runs"))
+    return B.summary_table(t.view("agent_runs"), t.view("rubric_items"))
 
 
 META = """meta AS (SELECT run_id, max(content) FILTER (path = 'dist/package.meta') AS meta, max(content) FILTER (path = 'REPORT.md') AS report FROM @artifacts GROUP BY run_id),

@@ -9,8 +9,9 @@ from tallyloom.session import get_session, ship_package
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_session("tests", "local[4]", shuffle_partitions="4", driver_memory="4g")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = get_session("tests", "local[4]", shuffle_partitions="4", driver_memory="4g", **{"spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)
     yield session
