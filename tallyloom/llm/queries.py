@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log2
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,40 @@ def op3_quality_classifier(spark, folder):
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-@query("op4_secret_scan")
+def _secret_sql() -> str:
+    """The scan as SQL: places from the lengths of pieces and matches, entropy of every window from the counts of its characters."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    patterns = ((0, secret_scan.ASSIGN), (1, secret_scan.ACCESS), (2, secret_scan.HEX), (9, secret_scan.CANDIDATE))
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {rank} AS rank, regexp_extract_all(text, {quoted(p)}) AS m, string_split_regex(text, {quoted(p)}) AS g FROM d WHERE regexp_matches(text, {quoted(p)})" for rank, p in patterns
+    )
+    w = secret_scan.WINDOW
+    most = lambda least: int(secret_scan.UNIT * w * (log2(w) - least))
+    allowed = " OR ".join(f"regexp_matches(s, {quoted(p)})" for p in secret_scan.ALLOWED if "\\1" not in p)
+    classes = secret_scan.CLASSES
+    case = lambda make: "CASE " + " ".join(f"WHEN regexp_matches(s, {quoted(c[1])}) THEN {make(c)}" for c in classes) + " END"
+    spelt = "string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank, z)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), f AS ({found}),
+p AS (SELECT doc_id, rank, m, g, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (SELECT doc_id, rank, m[i] AS s, CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS a FROM p),
+base AS (SELECT doc_id, rank, a, a + length(s) AS z, ['assign', 'access', 'hex'][rank + 1] AS kind FROM s
+  WHERE rank IN (1, 2) OR (rank = 0 AND length(regexp_extract(s, {quoted(secret_scan.ASSIGN)}, 2)) >= {secret_scan.ASSIGN_LEAST})),
+r AS (SELECT *, {case(lambda c: secret_scan.KINDS.index(c[0]))} AS k, {case(lambda c: most(c[3]))} AS most,
+    {case(lambda c: "lower(s)" if c[0] == "entropy_hex" else "s")} AS t FROM s
+  WHERE rank = 9 AND NOT ({allowed}) AND len([c FOR c IN string_split(s, '') IF contains(s, repeat(c, 10))]) = 0
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.a < s.a + length(s.s) AND s.a < b.z)),
+w AS (SELECT doc_id, k, most, a, i, substr(t, i + 1, {w}) AS w FROM (SELECT *, unnest(range(length(t) - {w - 1})) AS i FROM r)),
+h AS (SELECT *, list_sum([CAST(round({secret_scan.UNIT} * n * log2(n)) AS BIGINT) FOR n IN [length(w) - length(replace(w, c, '')) FOR c IN list_distinct(string_split(w, ''))]]) AS total FROM w),
+e AS (SELECT doc_id, k AS rank, a + min(i) AS a, a + max(i) + {w} AS z, {list(secret_scan.KINDS)}[k + 1] AS kind FROM h WHERE total <= most GROUP BY doc_id, k, h.a),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM e),
+b AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex, {spelt} AS spans FROM base GROUP BY doc_id),
+x AS (SELECT doc_id, {spelt} AS spans FROM every GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(x.spans, '') AS spans
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+
+@query("op4_secret_scan", _secret_sql())
 def op4_secret_scan(spark, folder):
     return secret_scan.digests(table(spark, folder, "documents"))
 
