@@ -11,8 +11,14 @@ from tallyloom.session import spread
 ROWS_PER_CELL = 1_000_000
 
 
+def keyed_hash(seed: int, *keys: Column) -> Column:
+    """60 bits of the md5 of seed and keys, written with slashes between: other engines can state it too."""
+    text = F.concat_ws("/", F.lit(seed).cast("string"), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def hash_order(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    return keyed_hash(seed, F.col(key))
 
 
 def seeded_shuffle(df: DataFrame, key: str, seed: int, name: str = "position") -> DataFrame:
@@ -22,7 +28,7 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int, name: str = "position") -
     sample: rows are ranked inside a range and shifted by the size of the ranges before it.
     """
     cells = max(spread(df.sparkSession), -(-df.count() // ROWS_PER_CELL))
-    marked = df.withColumn("_hash", hash_order(key, seed)).withColumn("_cell", F.shiftright("_hash", 64 - (cells - 1).bit_length()))
+    marked = df.withColumn("_hash", hash_order(key, seed)).withColumn("_cell", F.shiftright("_hash", 60 - (cells - 1).bit_length()))
     inside = F.row_number().over(Window.partitionBy("_cell").orderBy("_hash", key))
     # one row per range
     before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -74,10 +80,10 @@ def truncation_filter(df: DataFrame, reply: str, n_tokens: Column, cap: int) ->
 def hash_choice(options: Column, key: Column, seed: int) -> Column:
     """One option per key, the same on every run; NULL for an empty list."""
     size = F.size(options)
-    return F.when(size > 0, F.try_element_at(options, (F.pmod(F.xxhash64(key, F.lit(seed)), F.greatest(size, F.lit(1))) + 1).cast("int")))
+    return F.when(size > 0, F.try_element_at(options, (F.pmod(keyed_hash(seed, key), F.greatest(size, F.lit(1))) + 1).cast("int")))
 
 
 def hash_shuffle(options: Column, key: Column, seed: int) -> Column:
     """Options in an order that depends on the key only."""
-    tagged = F.transform(options, lambda x, i: F.struct(F.xxhash64(key, i, F.lit(seed)).alias("h"), i.alias("i"), x.alias("x")))
+    tagged = F.transform(options, lambda x, i: F.struct(keyed_hash(seed, key, i).alias("h"), i.alias("i"), x.alias("x")))
     return F.transform(F.array_sort(tagged), lambda s: s["x"])

@@ -54,7 +54,11 @@ def _(t: Tables):
     return cut.select("doc_id", "model", n_words(F.col("completion")).cast("long").alias("n_tokens"))
 
 
-@query("seeded_shuffle")
+def hash_sql(seed: int, *keys: str) -> str:
+    return "CAST('0x' || substr(md5('" + str(seed) + "/' || " + " || '/' || ".join(keys) + "), 1, 15) AS BIGINT)"
+
+
+@query("seeded_shuffle", f"SELECT doc_id, lang, row_number() OVER (ORDER BY {hash_sql(42, 'doc_id')}, doc_id) AS position FROM @documents")
 def _(t: Tables):
     return S.seeded_shuffle(t.documents.select("doc_id", "lang"), "doc_id", 42)
 
@@ -73,13 +77,17 @@ def _(t: Tables):
     return parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_ids"))
 
 
-@query("train_val_test")
+@query("train_val_test", f"""
+WITH s AS (SELECT id, split, label, row_number() OVER (PARTITION BY split ORDER BY {hash_sql(42, 'id')}, id) AS position FROM @sentiment WHERE split IN ('train', 'test'))
+SELECT *, CASE WHEN split = 'test' THEN 'test' WHEN position <= 100 THEN 'train' ELSE 'validation' END AS part FROM s WHERE position <= CASE WHEN split = 'test' THEN 30 ELSE 140 END""")
 def _(t: Tables):
     rows = t.view("sentiment").select("id", "split", "label")
     return S.train_val_test(rows.filter("split = 'train'"), rows.filter("split = 'test'"), "id", 100, 40, 30, 42)
 
 
-@query("hash_choice")
+@query("hash_choice", f"""
+SELECT user_id, CASE WHEN len(prefs) > 0 THEN prefs[{hash_sql(7, 'user_id')} % len(prefs) + 1] END AS choice,
+  array_to_string([x.x FOR x IN list_sort([{{'h': {hash_sql(7, 'user_id', '(i - 1)')}, 'i': i, 'x': prefs[i]}} FOR i IN range(1, len(prefs) + 1)])], ',') AS shuffled FROM @learners""")
 def _(t: Tables):
     return t.view("learners").select("user_id", S.hash_choice(F.col("prefs"), F.col("user_id"), 7).alias("choice"),
                                      F.array_join(S.hash_shuffle(F.col("prefs"), F.col("user_id"), 7), ",").alias("shuffled"))
