@@ -40,7 +40,7 @@ from tallyloom.session import scratch_dir
 FOLDS, HELD_OUT = 7, 2
 #: Counts over this are taken as they are, but for one part in N + 1, so that every context leaves something over.
 RELIABLE = 5
-BLOCK_TOKENS, RANGE_ENTRIES = 5_000_000, 2_000_000
+BLOCK_TOKENS, RANGE_ENTRIES = 2_500_000, 2_000_000
 END, START = (xxhash.xxh64_intdigest(mark, 1) for mark in (b"end", b"start"))
 
 _HASHES = Memo(lambda found: list(map(xxhash.xxh64_intdigest, found)), 150_000)
@@ -136,16 +136,20 @@ class Block:
         self.words, lengths, tokens = _keys(row["vocabulary"]), _unpacked(row["lengths"], np.int64), _unpacked(row["tokens"], np.uint32)
         self.end, self.start = np.searchsorted(self.words, np.array([END, START], np.uint64))
         ends = np.cumsum(lengths)
-        self.word = np.insert(tokens, ends, self.end).astype(np.int64)
-        before = np.insert(tokens, ends - lengths, self.start).astype(np.int64)
-        self.doc = np.repeat(np.arange(len(lengths)), lengths + 1)
-        pairs, place = np.unique(before * len(self.words) + self.word, return_inverse=True)
-        v, w = np.divmod(pairs, len(self.words))
+        self.word = np.insert(tokens, ends, self.end).astype(np.int32)
+        self.doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+        both = np.insert(tokens, ends - lengths, self.start).astype(np.int64)
+        both *= len(self.words)
+        both += self.word
+        pairs, place = np.unique(both, return_inverse=True)
+        del both
+        v, w = (x.astype(np.int32) for x in np.divmod(pairs, len(self.words)))
+        del pairs
         keys = _pair_key(self.words[v], self.words[w])
         order = np.argsort(keys, kind="stable")
         self.keys, self.v, self.w = keys[order], v[order], w[order]
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
         self.pair = back[place]
         self.learnt = ~self.held[self.doc]
 
@@ -238,7 +242,7 @@ def _score(stats: dict[int, list[int]], bits: int):
         done = np.stack([block.ids.view(np.float64), block.named, block.held, add(np.ones(len(block.doc))), add(seen[block.word] > 0), add(base[block.word]), add(score[block.pair])])
         # the factors that are still missing: how often each document needs each context
         missing = np.flatnonzero(back[block.pair])
-        need, times = np.unique(block.doc[missing] * len(block.words) + block.v[block.pair[missing]], return_counts=True)
+        need, times = np.unique(block.doc[missing].astype(np.int64) * len(block.words) + block.v[block.pair[missing]], return_counts=True)
         doc_at, context_at = np.divmod(need, len(block.words))
         mine = own & (pairs > 0)
         taken, known = (np.bincount(block.v[mine], x[mine], len(block.words)) for x in (_mass(d2, pairs), p[block.w]))
