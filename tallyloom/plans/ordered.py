@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.operators import folds as D
 from tallyloom.operators import intervals as I
 from tallyloom.operators import tutoring as U
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import hash_sql, query
 from tallyloom.plans.tables import Tables
 
 
@@ -125,7 +125,11 @@ def _(t: Tables):
     return out.select("user_id", "level", U.adjust_level(F.col("level"), F.col("scores")).alias("new_level"))
 
 
-@query("select_topic")
+@query("select_topic", f"""WITH {FILLED}, every AS (SELECT list(topics ORDER BY ord) AS t FROM levels),
+fresh AS (SELECT user_id, level, prefs, [x FOR x IN prefs IF NOT list_contains(list_slice(seen, greatest(1, len(seen) - 2), len(seen)), x)] AS new FROM filled),
+own AS (SELECT user_id, level, CASE WHEN len(new) = 0 THEN prefs ELSE new END AS p FROM fresh),
+far AS (SELECT *, t[{hash_sql(4, 'user_id')} % len(t) + 1] AS f FROM own, every)
+SELECT user_id, level, coalesce(CASE WHEN len(p) > 0 THEN p[{hash_sql(3, 'user_id')} % len(p) + 1] END, f[{hash_sql(3, 'user_id')} % len(f) + 1]) AS topic FROM far""")
 def _(t: Tables):
     return U.select_topic(U.profile_defaults(t.view("learners")), 3).select("user_id", "level", "topic")
 

@@ -24,3 +24,8 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return keep
+
+
+def hash_sql(seed: int, *keys: str) -> str:
+    """``splits.keyed_hash`` as SQL."""
+    return "CAST('0x' || substr(md5('" + str(seed) + "/' || " + " || '/' || ".join(keys) + "), 1, 15) AS BIGINT)"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import n_words, pretokens
 from tallyloom.operators import corpus as C
 from tallyloom.operators import splits as S
-from tallyloom.plans.registry import query
+from tallyloom.plans.registry import hash_sql, query
 from tallyloom.plans.tables import Tables
 from tallyloom.session import scratch_dir
 from tallyloom.sources.files import read_split
@@ -54,10 +54,6 @@ def _(t: Tables):
     return cut.select("doc_id", "model", n_words(F.col("completion")).cast("long").alias("n_tokens"))
 
 
-def hash_sql(seed: int, *keys: str) -> str:
-    return "CAST('0x' || substr(md5('" + str(seed) + "/' || " + " || '/' || ".join(keys) + "), 1, 15) AS BIGINT)"
-
-
 @query("seeded_shuffle", f"SELECT doc_id, lang, row_number() OVER (ORDER BY {hash_sql(42, 'doc_id')}, doc_id) AS position FROM @documents")
 def _(t: Tables):
     return S.seeded_shuffle(t.documents.select("doc_id", "lang"), "doc_id", 42)
