@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark import StorageLevel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,12 +49,11 @@ def metric_from_pairs(pairs: DataFrame, compute: Callable[[pd.Series, pd.Series,
     return pairs.agg(metric("label", "prediction", "n").alias("metric"))
 
 
-def _pipeline(features: int, passes: int, penalty: float, text: str, label: str) -> Pipeline:
+def _features(features: int, text: str) -> Pipeline:
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+"),
+        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"(?U)\W+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=features),
         IDF(inputCol="_tf", outputCol="_x"),
-        LogisticRegression(featuresCol="_x", labelCol=label, predictionCol="pred", maxIter=passes, regParam=penalty),
     ])
 
 
@@ -64,15 +64,23 @@ def _share_right(df: DataFrame, label: str) -> float:
 
 def train_text_classifier(train: DataFrame, valid: DataFrame, *, text: str = "text", label: str = "label",
                           features: int = 1 << 12, rounds: tuple[int, ...] = (1, 4, 16), penalty: float = 0.01):
-    """Fit with a growing number of passes, check each on the validation rows, keep the first best."""
+    """Fit with a growing number of passes, check each on the validation rows, keep the first best.
+
+    Words are counted and weighed once; the fits read the stored features only.
+    """
+    prepare = _features(features, text).fit(train)
+    known, held = (prepare.transform(rows).select(label, "_x").persist(StorageLevel.MEMORY_AND_DISK) for rows in (train, valid))
     best, best_score, history = None, -1.0, []
-    for passes in rounds:
-        model = _pipeline(features, passes, penalty, text, label).fit(train)
-        score = _share_right(model.transform(valid), label)
-        history.append((passes, score))
-        if score > best_score:
-            best, best_score = model, score
-    return best, history
+    try:
+        for passes in rounds:
+            model = LogisticRegression(featuresCol="_x", labelCol=label, predictionCol="pred", maxIter=passes, regParam=penalty).fit(known)
+            score = _share_right(model.transform(held), label)
+            history.append((passes, score))
+            if score > best_score:
+                best, best_score = model, score
+    finally:
+        known.unpersist(), held.unpersist()
+    return PipelineModel([*prepare.stages, best]), history
 
 
 def report_on(model, test: DataFrame, label: str = "label") -> DataFrame:

@@ -152,7 +152,7 @@ def _(t: Tables):
     train, valid = rows.filter("split = 'train' AND fold > 0"), rows.filter("split = 'train' AND fold = 0")
 
     def objective(params):
-        model, history = M.train_text_classifier(train, valid, features=256 * params["rank"], rounds=(2,), penalty=params["dropout"])
+        model, history = M.train_text_classifier(train, valid, features=256 * params["rank"], rounds=(1 + params["alpha"] // params["rank"],), penalty=params["dropout"])
         return 1 - history[-1][1], {"accuracy": history[-1][1]}
 
     results = M.param_search(M.sample_trials(t.spark, 4, 11), objective)
