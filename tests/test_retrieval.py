@@ -71,10 +71,8 @@ def test_vector_topk_equals_brute_force_with_many_copies(spark):
     unit = np.divide(m32, norms[:, None], out=np.zeros_like(m32), where=norms[:, None] > 0)
     scores = np.round((q32 / np.linalg.norm(q32, axis=1, keepdims=True)) @ unit.T, 6)
     want = {(i, int(c)): float(s[c]) for i, s in enumerate(scores) for c in np.lexsort((np.arange(400), -s))[:7]}
-    for way in (R._topk_streamed, R._topk_blocked):
-        got = {(r["q_id"], r["chunk_id"]): r["score"] for r in R._top(way(queries, chunks, 7), 7, "score", "rank").collect()}
-        assert got == want, way
-    assert {(r["q_id"], r["chunk_id"]) for r in R.vector_topk(queries, chunks, 7).collect()} == set(want)
+    got = {(r["q_id"], r["chunk_id"]): r["score"] for r in R.vector_topk(queries, chunks, 7).collect()}
+    assert got == want
 
 
 def test_blocked_search_over_several_blocks(spark, monkeypatch):
@@ -95,8 +93,8 @@ def test_keyword_search_fusion_and_rerank(spark):
     queries = spark.createDataFrame([(1, "Fox?", [1.0] + [0.0] * 7)], "q_id long, q_text string, q_vec array<float>")
     ranked = [r["chunk_id"] for r in R.bm25(queries, chunks, 5).orderBy("rank").collect()]
     assert ranked == [4, 0]
-    joined = R._top(R._bm25_joined(queries, chunks), 5, "score", "rank").collect()
-    assert {tuple(r) for r in joined} == {tuple(r) for r in R.bm25(queries, chunks, 5).collect()}
+    silent = spark.createDataFrame([(7, None, None)], queries.schema)
+    assert R.bm25(queries.unionByName(silent), chunks, 5).count() == 2 and R.vector_topk(queries.unionByName(silent), chunks, 5).count() == 5
     fused = R.hybrid_query(queries, chunks, 2)
     assert [r["chunk_id"] for r in fused.orderBy("place").collect()] == [0, 4]
     assert R.hybrid_query(queries, chunks, 9, scope="t").filter("chunk_id = 0").count() == 0
@@ -111,6 +109,25 @@ def test_keyword_search_fusion_and_rerank(spark):
     assert [r["chunk_id"] for r in R.hybrid_query(queries, chunks, 2, scorer=shortest).orderBy("reranked").collect()] == [0, 2]
 
 
+def test_more_queries_than_a_block(spark):
+    n = R.QUERY_BLOCK + 76
+    chunks = spark.createDataFrame([(i, f"word{i} common", [float(i == j) for j in range(6)]) for i in range(6)], "chunk_id long, chunk_text string, vec array<float>")
+    queries = spark.createDataFrame([(i, f"word{i % 6}", [float(i % 6 == j) for j in range(6)]) for i in range(n)], "q_id long, q_text string, q_vec array<float>")
+    for found in (R.bm25(queries.select("q_id", "q_text"), chunks.select("chunk_id", "chunk_text"), 1), R.vector_topk(queries.select("q_id", "q_vec"), chunks.select("chunk_id", "vec"), 1)):
+        assert {(r["q_id"], r["chunk_id"]) for r in found.collect()} == {(i, i % 6) for i in range(n)}
+
+
+def test_chunks_of_a_very_long_document_have_ids_of_their_own(spark, tmp_path):
+    from tallyloom.plans.retrieval import _chunks
+    from tallyloom.plans.tables import Tables
+
+    long = " ".join(f"w{i}" for i in range(220_000))
+    spark.createDataFrame([(1, long, "en", "s"), (2, "one more", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    ids = [r["chunk_id"] for r in _chunks(Tables(spark, str(tmp_path))).select("chunk_id").collect()]
+    assert len(ids) > 1200 and len(set(ids)) == len(ids)
+
+
 def test_sessions_and_feedback(spark):
     log = spark.createDataFrame([(1, 10, "q", "agent1", "u1"), (2, 11, "q", "agent1", "u1"), (3, 12, "q", "agent1", "u2"), (4, 13, "q", "agent2", "u3"), (5, 14, "q", "cli", None)],
                                 "id long, ts long, text string, source string, session_id string")
