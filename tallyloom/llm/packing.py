@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import id_and_text
-from tallyloom.llm.wordbpe import Memo, public_path, reopened, vocabulary
+from tallyloom.llm.wordbpe import Memo, public_path, vocabulary
 from tallyloom.session import cut_lineage
 
 LIMIT = 2048
 END = 1
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 250_000
 
 _MEMOS: dict[str, Memo] = {}
 
@@ -37,17 +37,21 @@ def library_memo(path: str) -> Memo:
         known: dict[str, bytes] = {}
 
         def ids_of(word: int | str) -> bytes:
-            if word not in known:
-                ids = [word] if isinstance(word, int) else [t.id for t in merges.tokenize(reopened(word).translate(char))]
-                known[word] = pack_ints(f"<{len(ids)}I", *ids)
-            return known[word]
+            found = known.get(word)
+            if found is None:
+                if isinstance(word, int):
+                    ids = [word]
+                else:  # printable ASCII stands for itself in the vocabulary's alphabet
+                    ids = [t.id for t in merges.tokenize(word if word.isascii() and word.isprintable() else word.translate(char))]
+                found = known[word] = pack_ints(f"<{len(ids)}I", *ids)
+            return found
 
         def make(chunks: list[bytes]) -> list[bytes]:
             if len(known) >= KNOWN_WORDS:
                 known.clear()
-            return [b"".join(map(ids_of, part)) for part in words.pretokens(chunks)]
+            return [b"".join(map(ids_of, part)) for part in words.pretokens(chunks, mark=False)]
 
-        _MEMOS[path] = Memo(make)
+        _MEMOS[path] = Memo(make, 300_000)
     return _MEMOS[path]
 
 

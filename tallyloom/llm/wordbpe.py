@@ -112,20 +112,22 @@ class Vocabulary:
                     return False
         return True
 
-    def pretokens(self, chunks: list[bytes]) -> list[list[int | str]]:
-        """For each chunk its words as strings of atoms, and special tokens (found in the text as written) as ids."""
+    def pretokens(self, chunks: list[bytes], mark: bool = True) -> list[list[int | str]]:
+        """For each chunk its words as strings of atoms (without ``mark`` as bytes), and special tokens, as found in the text, as ids."""
         if not chunks:
             return []
         texts = [c.decode() for c in chunks]
         whole = "\n".join(texts)
         if max(whole, default="") > LATIN or "<|" in whole:
-            return [self._mixed(t) for t in texts]
+            parts = [self._mixed(t) for t in texts]
+            return parts if mark else [[p if isinstance(p, int) else reopened(p) for p in part] for part in parts]
         found: list[list[int | str]] = [[]]
         for word in SPLIT_LINES.findall((whole if whole.isascii() else unicodedata.normalize("NFC", whole)).lower()):
             if word == "\n":
                 found.append([])
             else:
-                found[-1].append(closed(word if word.isascii() else word.encode().decode("latin-1")))
+                plain = word if word.isascii() else word.encode().decode("latin-1")
+                found[-1].append(closed(plain) if mark else plain)
         return found
 
     def _mixed(self, text: str) -> list[int | str]:
