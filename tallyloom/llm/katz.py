@@ -40,7 +40,7 @@ from tallyloom.session import scratch_dir
 FOLDS, HELD_OUT = 7, 2
 #: Counts over this are taken as they are, but for one part in N + 1, so that every context leaves something over.
 RELIABLE = 5
-BLOCK_TOKENS, RANGE_ENTRIES = 2_500_000, 2_000_000
+BLOCK_TOKENS, RANGE_ENTRIES = 1_600_000, 2_000_000
 END, START = (xxhash.xxh64_intdigest(mark, 1) for mark in (b"end", b"start"))
 
 _HASHES = Memo(lambda found: list(map(xxhash.xxh64_intdigest, found)), 150_000)
