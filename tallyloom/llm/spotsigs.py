@@ -58,7 +58,8 @@ def signatures(raw: bytes) -> np.ndarray:
     """The sorted set of a text's signatures.
 
     Where the GAP words before hold no anchor (or the text has had none yet), each word stands in for one, so that lists and
-    shouting are covered too. A text too short for a chain is a single one; one without words has the empty set.
+    shouting are covered too. A text without any whole chain has the runs of CHAIN + 1 words over all its words, or its whole sequence if
+    it has fewer; one without words has the empty set.
     """
     codes = np.fromiter(_MEMO.all_of(raw.split()), np.uint64)
     codes = codes[codes != 0]
@@ -74,7 +75,8 @@ def signatures(raw: bytes) -> np.ndarray:
     found, follow = codes[begins][whole], follow[whole]
     if len(found):
         return np.unique(_mixed(found, *(content[follow + i] for i in range(CHAIN))))
-    return _mixed(*(codes[i : i + 1] for i in range(min(len(codes), CHAIN + 1))))
+    runs = max(1, len(codes) - CHAIN)
+    return np.unique(_mixed(*(codes[i : i + runs] for i in range(min(len(codes), CHAIN + 1)))))
 
 
 def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:

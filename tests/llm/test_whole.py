@@ -1,0 +1,16 @@
+"""Operators see the whole of a text and of a table, not a part of it."""
+
+from tallyloom.llm import spotsigs
+
+
+def test_signatures_without_chains_cover_the_whole_text():
+    of = lambda t: spotsigs.signatures(t.encode())
+    start = "to be or not to be that is the "
+    assert set(of(start + "question").tolist()) != set(of(start + "problem").tolist())
+    long = "no " * 500
+    other = long + "the of and " * 300
+    assert spotsigs.likeness(of(long), of(other)) < 0.5
+    half = "la " * 300 + "to be or not " * 100
+    edited = half[: len(half) - len(half) // 2] + "she he they you " * 50
+    assert spotsigs.likeness(of(half), of(edited)) < 1
+    assert len(of("to be")) == 1 and of("to be").tolist() != of("be to").tolist()
