@@ -29,22 +29,40 @@ _CLASS_OF = np.full(256, len(_CLASSES), np.uint8)
 for _i, _c in enumerate(_CLASSES):
     _CLASS_OF[list(_c)] = _i
 UPPER, LETTERS = 1, (0, 1)
+ODD = (7, 8, 10)
+_IS_ODD = np.isin(np.arange(len(_CLASSES) + 1), ODD)
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
+
+
+def _line_shares(codes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of odd marks and of capitals in each line that is not blank, of its whole length; one share of 0 if there is none."""
+    ends = np.flatnonzero(codes == 10)
+    starts = np.r_[0, ends + 1]
+    lengths = np.r_[ends, len(codes)] - starts
+    if starts[-1] == len(codes):
+        starts, lengths = starts[:-1], lengths[:-1]
+    per_line = lambda hit: np.add.reduceat(hit, starts, dtype=np.int64)
+    told = per_line(~_BLANK[codes]) > 0
+    if not told.any():
+        return np.zeros(1), np.zeros(1)
+    odd, loud = per_line(_IS_ODD[classes]), per_line(classes == UPPER)
+    return odd[told] / lengths[told], loud[told] / lengths[told]
 
 
 def statistics(raw: bytes) -> list[float]:
     """The numbers that the trees see; an empty text has zeros."""
     if not raw:
         return [0.0] * N_STATISTICS
-    classes = _CLASS_OF[np.frombuffer(raw, np.uint8)]
+    codes = np.frombuffer(raw, np.uint8)
+    classes = _CLASS_OF[codes]
     shares = np.bincount(classes, minlength=len(_CLASSES) + 1) / len(raw)
     words = raw.lower().split()
     n = max(1, len(words))
     counts = Counter(words)
     top = [c for _, c in counts.most_common(3)]
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    line_shares = [_CLASS_OF[np.frombuffer(x[:LINE_BYTES], np.uint8)] for x in (lines[0], lines[len(lines) // 2], lines[-1])] if lines else []
-    odd = [float(np.isin(x, (7, 8, 10)).mean()) for x in line_shares] or [0.0]
-    loud = [float((x == UPPER).mean()) for x in line_shares] or [0.0]
+    odd, loud = _line_shares(codes, classes)
     pairs = max(1, len(words) - 1)
     return [
         *shares.tolist(),
@@ -52,11 +70,10 @@ def statistics(raw: bytes) -> list[float]:
         len(counts) / n, len(counts) / np.sqrt(n), sum(top) / n, (top or [0])[0] / n,
         sum(map(eq, words, words[1:])) / pairs, len(set(zip(words, words[1:]))) / pairs,
         len(lines) / n, len(set(lines)) / max(1, len(lines)),
-        max(odd), min(odd), max(loud), min(loud),
+        float(odd.max()), float(odd.min()), float(loud.max()), float(loud.min()),
     ]
 
 
-LINE_BYTES = 1 << 14
 N_STATISTICS = len(_CLASSES) + 1 + 15
 
 

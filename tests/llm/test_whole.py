@@ -1,6 +1,8 @@
 """Operators see the whole of a text and of a table, not a part of it."""
 
-from tallyloom.llm import spotsigs
+import numpy as np
+
+from tallyloom.llm import quality, spotsigs
 
 
 def test_signatures_without_chains_cover_the_whole_text():
@@ -14,3 +16,20 @@ def test_signatures_without_chains_cover_the_whole_text():
     edited = half[: len(half) - len(half) // 2] + "she he they you " * 50
     assert spotsigs.likeness(of(half), of(edited)) < 1
     assert len(of("to be")) == 1 and of("to be").tolist() != of("be to").tolist()
+
+
+def test_line_statistics_see_every_line_in_full():
+    of = lambda t: quality.statistics(t)[-4:]
+    calm = b"a calm line of words"
+    assert of(b"\n".join([calm] * 9)) == [0.0] * 4
+    assert of(b"\n".join([calm, b"JUNK!!!!", *[calm] * 7]))[0] == 0.5
+    assert of(b"\n".join([calm, b"LOUD", *[calm] * 7]))[2] == 1.0
+    assert of(b"a" * 20_000 + b"!" * 20_000)[0] == 0.5
+    assert of(b"\n \n") == [0.0] * 4 and of(b"AA\n\n") == [0.0, 0.0, 1.0, 1.0]
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        raw = bytes(rng.choice(list(b"aB!|\n \t"), rng.integers(1, 60)))
+        lines = [x for x in raw.split(b"\n") if x.strip()]
+        shares = lambda marks: [sum(c in marks for c in x) / len(x) for x in lines] or [0.0]
+        odd, loud = shares(b"!|"), shares(b"B")
+        assert np.allclose(of(raw), [max(odd), min(odd), max(loud), min(loud)])
