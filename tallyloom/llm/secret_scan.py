@@ -40,6 +40,8 @@ ALLOWED = (
     r"(.)\1{9}",
     r"0123456789|abcdefghij|ABCDEFGHIJ",
 )
+#: Samples inside a run: they are cut out, what is left is looked at. All have a fixed length.
+SAMPLES = tuple(p for p in ALLOWED if not p.startswith("^"))
 KINDS = ("assign", "access", "hex", *(c[0] for c in CLASSES))
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 FOUND = "array<struct<start:int,end:int,s:string>>"
@@ -108,11 +110,28 @@ def _entropy_spans(candidates: Column) -> Column:
     return F.filter(F.transform(candidates, scan), lambda x: x.isNotNull())
 
 
-def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+def _left_over(x, base: Column) -> Column:
+    """The parts of a run outside base spans and samples, as runs of their own."""
+
+    def blanked(acc, b):
+        start, end = F.greatest(b["start"], x["start"]) - x["start"], F.least(b["end"], x["end"]) - x["start"]
+        return F.concat(F.substring(acc, 1, start), F.repeat(F.lit(" "), end - start), F.substring(acc, end + 1, F.length(acc)))
+
+    touching = F.filter(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    rest = F.aggregate(touching, x["s"], blanked)
+    for pattern in SAMPLES:
+        for one in pattern.split("|"):
+            rest = F.regexp_replace(rest, one, " " * (10 if "\\1" in one else len(one)))
+    shift = lambda y: F.struct((x["start"] + y["start"]).alias("start"), (x["start"] + y["end"]).alias("end"), y["s"].alias("s"))
+    return F.transform(found(rest, CANDIDATE), shift)
+
+
+def find_secrets(docs: DataFrame, text: str = "text", inside: bool = False) -> DataFrame:
     """The columns of ``docs`` with ``_base`` and ``_spans`` added: arrays of (start, rank, end, kind) by start, then kind.
 
-    Code points, the end is exclusive. A null or empty text has none. A run that overlaps a base span is not reported again. Rows
-    that are alike all stay; an empty table gives no rows.
+    Code points, the end is exclusive. A null or empty text has none. A run that overlaps a base span, or holds a sample, is not looked
+    at any further; with ``inside``, only its base spans and samples are left out, and the rest of it is looked at in full. Rows that
+    are alike all stay; an empty table gives no rows.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     places = docs.withColumns({"_assign": found(whole, ASSIGN), "_access": found(whole, ACCESS), "_hex": found(whole, HEX), "_runs": found(whole, CANDIDATE)})
@@ -126,9 +145,21 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
             keep = keep & ~x["s"].rlike(pattern)
         return keep
 
-    more = _entropy_spans(F.filter("_runs", suspect))
+    def unlike_words(x):
+        keep = F.lit(True)
+        for pattern in ALLOWED:
+            if pattern not in SAMPLES:
+                keep = keep & ~x["s"].rlike(pattern)
+        return keep
+
+    if inside:
+        parts = F.flatten(F.transform(F.filter("_runs", unlike_words), lambda x: _left_over(x, F.col("_base"))))
+        based = based.withColumn("_parts", F.filter(parts, unlike_words))
+        more = _entropy_spans(F.col("_parts"))
+    else:
+        more = _entropy_spans(F.filter("_runs", suspect))
     spans = F.when(F.size("_runs") > 0, F.array_sort(F.concat("_base", more))).otherwise(F.col("_base"))
-    return based.withColumn("_spans", spans).drop("_assign", "_access", "_hex", "_runs")
+    return based.withColumn("_spans", spans).drop("_assign", "_access", "_hex", "_runs", "_parts")
 
 
 def written(spans: Column) -> Column:
@@ -142,13 +173,14 @@ def digests(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[secret]", inside: bool = False) -> DataFrame:
     """The same rows and columns; each secret in ``text`` gives way to ``mask``, and ``n_chars`` of such a row is counted anew.
 
     A text without secrets, null included, stays as it is. Spans that overlap give way to one mask.
+    ``inside``: as in ``find_secrets``.
     """
     names = docs.columns
-    got = find_secrets(docs)
+    got = find_secrets(docs, inside=inside)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
