@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tallyloom.llm.common import id_and_text, per_text, words
+from tallyloom.llm.common import bounded_batches, id_and_text, per_text, words
 from tallyloom.llm.components import components
 from tallyloom.session import cut_lineage
 
@@ -117,6 +118,25 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_linked, "a long, b long")
 
 
+def with_fingerprint(docs: DataFrame, name: str) -> DataFrame:
+    """The same rows and columns, and the fingerprint of ``text`` as column ``name``; a null text is the empty one."""
+    bounded_batches(docs.sparkSession)
+    at, names = docs.columns.index("text"), [*docs.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = pa.array([fingerprint(t or b"") for t in batch.column(at).cast(pa.binary()).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=names)
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
+
+
+def groups(distinct: DataFrame) -> DataFrame:
+    """Distinct fingerprints (fp) to (fp, root): those that chains of links connect have one root."""
+    roots = components(links(distinct))
+    return distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Documents to (doc_id, fp, component_id): component_id is the least doc_id that chains of links reach, itself included.
 

@@ -49,3 +49,11 @@ def test_redaction_looks_beside_known_forms_and_samples(spark):
     assert [got[len(texts) + i] for i in range(len(calm))] == calm
     staged = {r["doc_id"]: r["text"] for r in corpus_pipeline.without_secrets(spark, frame, "").collect()}
     assert staged == got
+
+
+def test_near_duplicate_stage_decides_by_row(spark):
+    one, two = ("the quick brown fox jumps over the lazy dog near the old mill " * 3).strip(), ("several unrelated words about ships and harbours in the north sea " * 3).strip()
+    rows = [(1, one), (1, two), (2, one), (3, two), (4, "alone in its group, with words of its own"), (3, "another text of document three"), (None, one)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    assert got == sorted([(1, one), (1, two), (3, rows[5][1]), (4, rows[4][1]), (0, one)])
