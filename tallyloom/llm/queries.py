@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from math import log2
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, bpe_backtrack, chat, katz, packing, prefix_counts, quality, secret_scan, simhash, spotsigs
+from tallyloom.llm import ann, bpe_backtrack, chat, katz, packing, periodic_runs, prefix_counts, quality, secret_scan, simhash, spotsigs
 from tallyloom.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +129,30 @@ def op9_simhash_dedup(spark, folder):
 @query("op10_nearest_neighbours")
 def op10_nearest_neighbours(spark, folder):
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def looped_words(doc_id: int | None, raw: bytes) -> list[bytes]:
+    """The words of a text; every tenth document by its hash repeats a stretch of them to its end. A row without an id stays as it is."""
+    words = raw.split()
+    h = crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, folder):
+    found = periodic_runs.find_runs(table(spark, folder, "documents"), looped_words).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    spelt = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("best")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[best[c].alias(c) for c in ("start", "length", "period")],
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(spelt, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
