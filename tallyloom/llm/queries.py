@@ -9,7 +9,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, bpe_backtrack, chat, katz, packing, periodic_runs, prefix_counts, quality, secret_scan, simhash, spotsigs
+from tallyloom.llm import ann, bpe_backtrack, chat, katz, packing, periodic_runs, prefix_counts, quality, secret_scan, simhash, spotsigs, toxicity
 from tallyloom.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,17 @@ def op10_nearest_neighbours(spark, folder):
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op11_toxic_spans")
+def op11_toxic_spans(spark, folder):
+    docs = table(spark, folder, "documents")
+    tagged = toxicity.tag(docs, toxicity.train(docs, table(spark, folder, "labels")))
+    held_out = F.coalesce(crc_of_id(toxicity.FOLDS) == toxicity.HELD_OUT, F.lit(False))
+    spelt = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return tagged.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.TOXIC_AT).cast("int").alias("predicted"), F.size("spans").cast("long").alias("n_spans"), spelt.alias("spans")
+    )
+
+
 def looped_words(doc_id: int | None, raw: bytes) -> list[bytes]:
     """The words of a text; every tenth document by its hash repeats a stretch of them to its end. A row without an id stays as it is."""
     words = raw.split()
