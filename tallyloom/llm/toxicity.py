@@ -50,10 +50,10 @@ def normal(token: str) -> str:
 
 
 def features(word: str) -> list[int]:
-    """The hashed features of a normal word: itself, its beginnings and its ending. As many for each word; a repeated one is the word's own."""
+    """The hashed features of a normal word: itself, its beginnings, its ending, and being a word. As many for each; a repeated one is the word's own."""
     own = crc32(b"=" + word.encode()) % BUCKETS
     parts = [crc32(b"%d^" % n + word[:n].encode()) % BUCKETS if len(word) > n else own for n in BEGINNINGS]
-    return [own, *parts, crc32(b"$" + word[-ENDING:].encode()) % BUCKETS if len(word) > ENDING else own]
+    return [own, *parts, crc32(b"$" + word[-ENDING:].encode()) % BUCKETS if len(word) > ENDING else own, crc32(b"word") % BUCKETS]
 
 
 def chain(x: np.ndarray, opens: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
@@ -180,11 +180,15 @@ def sums_of(marginal: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def _weights_of_copies(codes: np.ndarray, starts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """One over the number of sampled texts of one label that share the least hash of neighbouring words: near copies mostly share it."""
-    mixed = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    pairs = (mixed ^ np.r_[mixed[1:], np.uint64(0)] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
-    pairs[starts[1:] - 1] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    key = np.minimum.reduceat(pairs, starts[:-1])
+    """One over the number of sampled texts of one label that share the least hash of four neighbouring words: near copies mostly share it."""
+    mixed = mix = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ends = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(codes))
+    for n in (1, 2, 3):
+        # at the end of a text, fewer words
+        mixed = (mixed ^ np.where(ends > n, np.roll(mix, -n), np.uint64(n))) * np.uint64(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> np.uint64(32)
+    mixed[(ends < 4) & np.repeat(np.diff(starts) >= 4, np.diff(starts))] = np.uint64(0xFFFFFFFFFFFFFFFF)
+    key = np.minimum.reduceat(mixed, starts[:-1])
     _, group, sizes = np.unique(np.stack([key, toxic.astype(np.uint64)]), axis=1, return_inverse=True, return_counts=True)
     return 1.0 / sizes[group.ravel()]
 
@@ -207,7 +211,7 @@ def fit(words: list[str], codes: np.ndarray, starts: np.ndarray, toxic: np.ndarr
     Without both labels there is nothing to tell apart: the share of toxic texts alone makes the score.
     """
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
-    none = Field(np.zeros(BUCKETS), np.ones((2, 2)), np.array([1.0, 1e-9]), np.array([np.log(share / (1 - share)), 0, 0, 0, 0]))
+    none = Field(np.zeros(BUCKETS), np.array([[1.0, 1e-9], [1.0, 1e-9]]), np.array([1.0, 1e-9]), np.array([np.log(share / (1 - share)), 0, 0, 0, 0]))
     if len(np.unique(toxic)) < 2:
         return none
     # numbers by the words' order, so that the copies' weights do not depend on the order of the rows
@@ -260,8 +264,8 @@ def fit(words: list[str], codes: np.ndarray, starts: np.ndarray, toxic: np.ndarr
 
     tagged, seen = count()
     # the first guess: labelled words are toxic, all others clean
-    guess = np.r_[np.zeros(k), -3.0, 0.0, 0.0, -3.0]
-    guess[np.unique(columns[0][codes[tags]])] = 4.0
+    guess = np.zeros(k + 4)
+    guess[np.unique(columns[0][codes[tags]])], guess[columns[-1][0]] = 7.0, -3.0
     theta = least(loss, guess, rounds)
     _, x, step, start = spread(theta)
     found = tags | bad & (chain(x, opens, step, start)[3] >= SPAN_AT)
