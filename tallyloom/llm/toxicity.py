@@ -172,31 +172,31 @@ def sums_of(marginal: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if some.any():
         at = starts[:-1][some]
         tagged = np.add.reduceat((marginal >= SPAN_AT).astype(float), at)
-        out[some, 1] = np.log1p(np.add.reduceat(np.minimum(-np.log1p(-np.minimum(marginal, 1 - 1e-9)), 6.0) * (marginal >= 0.05), at))
+        out[some, 1] = np.log1p(np.add.reduceat(np.minimum(-np.log1p(-np.minimum(marginal, 1 - 1e-9)), 6.0) * (marginal >= SPAN_AT / 2), at))
         out[some, 2] = np.log1p(tagged)
         out[some, 3] = np.log1p(1000 * tagged / n[some])
         out[some, 4] = np.maximum.reduceat(marginal, at)
     return out
 
 
-def _weights_of_copies(codes: np.ndarray, starts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def _weights_of_copies(hashes: np.ndarray, starts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """One over the number of sampled texts of one label that share the least hash of four neighbouring words: near copies mostly share it."""
-    mixed = mix = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ends = np.repeat(starts[1:], np.diff(starts)) - np.arange(len(codes))
-    for n in (1, 2, 3):
-        # at the end of a text, fewer words
-        mixed = (mixed ^ np.where(ends > n, np.roll(mix, -n), np.uint64(n))) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(32)
-    mixed[(ends < 4) & np.repeat(np.diff(starts) >= 4, np.diff(starts))] = np.uint64(0xFFFFFFFFFFFFFFFF)
-    key = np.minimum.reduceat(mixed, starts[:-1])
+    key = np.empty(len(toxic), np.uint64)
+    for k, (a, z) in enumerate(zip(starts.tolist(), starts[1:].tolist())):
+        mixed, n = hashes[a:z].astype(np.uint64), min(4, z - a)
+        whole = np.zeros(z - a - n + 1, np.uint64)
+        for i in range(n):
+            whole = (whole ^ mixed[i : z - a - n + 1 + i]) * np.uint64(0xD6E8FEB86659FD93)
+            whole ^= whole >> np.uint64(32)
+        key[k] = whole.min()
     _, group, sizes = np.unique(np.stack([key, toxic.astype(np.uint64)]), axis=1, return_inverse=True, return_counts=True)
     return 1.0 / sizes[group.ravel()]
 
 
 def _seeds(codes: np.ndarray, owner: np.ndarray, n_words: int, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Words that are far more frequent in toxic documents than chance allows, by the log-likelihood ratio."""
-    pair = np.unique(owner * n_words + codes)
-    doc, word = pair // n_words, pair % n_words
+    pair = np.unique(owner * np.int64(n_words) + codes)
+    doc, word = (pair // n_words).astype(np.int32), (pair % n_words).astype(np.int32)
     a = np.bincount(word, weight[doc] * toxic[doc], n_words)
     c = np.bincount(word, weight[doc] * ~toxic[doc], n_words)
     share = (weight * toxic).sum() / weight.sum()
@@ -205,79 +205,100 @@ def _seeds(codes: np.ndarray, owner: np.ndarray, n_words: int, toxic: np.ndarray
     return (a > whole * share) & (2 * (part(a, share) + part(c, 1 - share)) > UNLIKELY)
 
 
-def fit(words: list[str], codes: np.ndarray, starts: np.ndarray, toxic: np.ndarray, rounds: int = 20, ridge: float = 0.1) -> Field:
-    """The field of labelled texts: ``codes`` (numbers of ``words``) of all of them end to end, beginning at ``starts``; none is empty.
+def fit(words: list[str], codes: np.ndarray, starts: np.ndarray, toxic: np.ndarray, rounds: int = 20, ridge: float = 0.1, chain_words: int = CHAIN_WORDS >> 2) -> Field:
+    """The field of labelled texts: ``codes`` (numbers of the normal ``words``) of all of them end to end, beginning at ``starts``; none is empty.
 
-    Without both labels there is nothing to tell apart: the share of toxic texts alone makes the score.
+    Without both labels there is nothing to tell apart: the share of toxic texts alone makes the score. Chains of ``chain_words``
+    words, or of one text, are held at a time.
     """
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     none = Field(np.zeros(BUCKETS), np.array([[1.0, 1e-9], [1.0, 1e-9]]), np.array([1.0, 1e-9]), np.array([np.log(share / (1 - share)), 0, 0, 0, 0]))
     if len(np.unique(toxic)) < 2:
         return none
-    # numbers by the words' order, so that the copies' weights do not depend on the order of the rows
-    forms = [normal(w) for w in words]
-    distinct, inverse = np.unique(np.array(forms, dtype=object).astype(str), return_inverse=True)
-    codes, words = inverse[codes], distinct.tolist()
-    owner = np.repeat(np.arange(len(toxic)), np.diff(starts))
-    weight = _weights_of_copies(codes, starts, toxic)
-    each = weight[owner]
-    opens = np.zeros(len(codes), bool)
-    opens[starts[:-1]] = True
-    at = np.array([features(w) for w in words])
+    n_words = len(words)
+    weight = _weights_of_copies(np.fromiter((crc32(w.encode()) for w in words), np.uint32, n_words)[codes], starts, toxic)
+    at = np.empty((n_words, len(features(""))), np.int32)
+    for i, w in enumerate(words):
+        at[i] = features(w)
     used, place = np.unique(at, return_inverse=True)
-    place = place.reshape(at.shape)
+    columns = [np.ascontiguousarray(c, np.int32) for c in place.reshape(at.shape).T]
+    del at, place
     k = len(used)
+    owner = np.repeat(np.arange(len(toxic)), np.diff(starts))
     bad = toxic[owner]
-    tags = bad & _seeds(codes, owner, len(words), toxic, weight)[codes]
+    tags = bad & _seeds(codes, owner, n_words, toxic, weight)[codes]
+    del owner
     if not tags.any():
         return none
-
-    columns = [np.ascontiguousarray(c) for c in place.T]
-    # places of words that follow another one in their text
-    later = np.flatnonzero(~opens)
-    w_later, w_first, n_words = each[later], each[opens], len(words)
+    # texts that are searched together
+    cuts, held = [0], 0
+    for i, n in enumerate(np.diff(starts).tolist()):
+        if held and held + n > chain_words:
+            cuts.append(i)
+            held = 0
+        held += n
+    cuts.append(len(toxic))
+
+    def parts():
+        """Each group of texts: its words' places, which of them open a text, and the weight of each."""
+        for a, z in zip(cuts, cuts[1:]):
+            inside = starts[a : z + 1] - starts[a]
+            opens = np.zeros(inside[-1], bool)
+            opens[inside[:-1]] = True
+            yield slice(starts[a], starts[z]), inside, opens, np.repeat(weight[a:z], np.diff(inside))
 
     def spread(theta):
         own = sum(theta[c] for c in columns)
         step = np.exp(np.array([[0.0, theta[k]], [theta[k + 1], theta[k + 2]]]))
-        return own, np.exp(np.clip(own, -30, 30))[codes], step, np.exp(np.array([0.0, theta[k + 3]]))
+        return own, np.exp(np.clip(own, -30, 30)), step, np.exp(np.array([0.0, theta[k + 3]]))
 
     def loss(theta):
-        own, x, step, start = spread(theta)
-        forward, backward, logs, p = chain(x, opens, step, start)
-        # pair marginals of neighbours in one text: the tags of both, and of each, give all four
-        l0, l1, r1 = forward[0][later - 1], forward[1][later - 1], x[later] * backward[1][later]
-        j01, j11 = l0 * step[0, 1] * r1, l1 * step[1, 1] * r1
-        j10 = l1 * step[1, 0] * backward[0][later]
-        scale = w_later / (j01 + j11 + j10 + l0 * backward[0][later])
-        expected = np.array([j01 @ scale, j10 @ scale, j11 @ scale, w_first @ p[opens]])
-        by_word = np.bincount(codes, each * p, n_words) - tagged
+        own, odds, step, start = spread(theta)
+        value, expected, by_word = 0.0, np.zeros(4), np.zeros(n_words)
+        for part, _, opens, each in parts():
+            x = odds[codes[part]]
+            forward, backward, logs, p = chain(x, opens, step, start)
+            later = np.flatnonzero(~opens)
+            # pair marginals of neighbours in one text
+            l0, l1, r0, r1 = forward[0][later - 1], forward[1][later - 1], backward[0][later], x[later] * backward[1][later]
+            j01, j10, j11 = l0 * step[0, 1] * r1, l1 * step[1, 0] * r0, l1 * step[1, 1] * r1
+            scale = each[later] / (l0 * r0 + j01 + j10 + j11)
+            expected += [j01 @ scale, j10 @ scale, j11 @ scale, each[opens] @ p[opens]]
+            by_word += np.bincount(codes[part], each * p, n_words)
+            value += each @ logs
+        by_word -= tagged
         slope = sum(np.bincount(c, by_word, k) for c in columns)
-        value = each @ logs - tagged @ own - seen @ theta[k:] + ridge / 2 * theta @ theta
+        value -= tagged @ own + seen @ theta[k:] - ridge / 2 * theta @ theta
         return value, np.r_[slope, expected - seen] + ridge * theta
 
     def count():
         """What the tags hold of each word and of each transition."""
-        old, new = tags[later - 1], tags[later]
-        pairs = [w_later @ (~old & new), w_later @ (old & ~new), w_later @ (old & new), w_first @ tags[opens]]
-        return np.bincount(codes, each * tags, n_words), np.array(pairs)
+        by_word, pairs = np.zeros(n_words), np.zeros(4)
+        for part, _, opens, each in parts():
+            later, here = np.flatnonzero(~opens), tags[part]
+            old, new, w = here[later - 1], here[later], each[later]
+            pairs += [w @ (~old & new), w @ (old & ~new), w @ (old & new), each[opens] @ here[opens]]
+            by_word += np.bincount(codes[part], each * here, n_words)
+        return by_word, pairs
 
     tagged, seen = count()
     # the first guess: labelled words are toxic, all others clean
     guess = np.zeros(k + 4)
     guess[np.unique(columns[0][codes[tags]])], guess[columns[-1][0]] = 7.0, -3.0
     theta = least(loss, guess, rounds)
-    _, x, step, start = spread(theta)
-    found = tags | bad & (chain(x, opens, step, start)[3] >= SPAN_AT)
+    found = tags.copy()
+    _, odds, step, start = spread(theta)
+    for part, _, opens, _ in parts():
+        found[part] |= bad[part] & (chain(odds[codes[part]], opens, step, start)[3] >= SPAN_AT)
     if (found != tags).any():
         tags = found
         tagged, seen = count()
         theta = least(loss, theta, rounds)
-    _, x, step, start = spread(theta)
-    line = logistic(sums_of(chain(x, opens, step, start)[3], starts), toxic.astype(float), weight)
+    _, odds, step, start = spread(theta)
+    sums = np.concatenate([sums_of(chain(odds[codes[part]], opens, step, start)[3], inside) for part, inside, opens, _ in parts()])
     weights = np.zeros(BUCKETS)
     weights[used] = theta[:k]
-    return Field(weights, step, start, line)
+    return Field(weights, step, start, logistic(sums, toxic.astype(float), weight))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 25, ridge: float = 0.1) -> np.ndarray:
@@ -304,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, words: in
         for batch in batches:
             found = [t.split() for t in batch.column(1).to_pylist()]
             at = [crc32(f"{len(t)}".encode()) % max(1, len(t) - words + 1) for t in found]
-            found = [t[a : a + words] for t, a in zip(found, at)]
+            found = [list(map(normal, t[a : a + words])) for t, a in zip(found, at)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "words"])
 
     split = id_and_text(texts).mapInArrow(cut, "doc_id long, words array<string>").where(F.size("words") > 0)
@@ -313,7 +334,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, words: in
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     coded = lists.flatten().dictionary_encode()
     starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))]
-    return fit(coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), starts, got.column("toxic").to_numpy() == 1)
+    return fit(coded.dictionary.to_pylist(), coded.indices.to_numpy(), starts, got.column("toxic").to_numpy() == 1)
 
 
 class _Potentials(dict):
