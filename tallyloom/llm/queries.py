@@ -9,7 +9,7 @@ from zlib import crc32
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, bpe_backtrack, chat, katz, packing, periodic_runs, prefix_counts, quality, secret_scan, simhash, spotsigs, toxicity
+from tallyloom.llm import ann, bpe_backtrack, chat, katz, packing, periodic_runs, prefix_counts, quality, repair, secret_scan, simhash, spotsigs, toxicity
 from tallyloom.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,6 +142,22 @@ def op11_toxic_spans(spark, folder):
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of ``conversations`` with faults by the hash of their place; null roles and texts are one blank. ``here`` marks the rows that are left."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(blank("text"), ".!?", "")).otherwise(blank("text"))
+    role = F.when(fault == 4, "user").otherwise(blank("role"))
+    copies = F.when(fault == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    made = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), (fault != 0).alias("here"), F.explode(copies).alias("copy"))
+    return made.drop("copy")
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, folder):
+    return repair.summary(repair.repair(damaged(table(spark, folder, "conversations")), here="here"))
+
+
 def looped_words(doc_id: int | None, raw: bytes) -> list[bytes]:
     """The words of a text; every tenth document by its hash repeats a stretch of them to its end. A row without an id stays as it is."""
     words = raw.split()
