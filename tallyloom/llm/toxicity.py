@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp
 from zlib import crc32
 
 import numpy as np
@@ -49,11 +50,19 @@ def normal(token: str) -> str:
     return _EDGE.sub("", token.lower())
 
 
+_MARKS = tuple((n, crc32(b"%d^" % n)) for n in BEGINNINGS)
+_OWN, _END, _ANY = crc32(b"="), crc32(b"$"), crc32(b"word") % BUCKETS
+
+
 def features(word: str) -> list[int]:
     """The hashed features of a normal word: itself, its beginnings, its ending, and being a word. As many for each; a repeated one is the word's own."""
-    own = crc32(b"=" + word.encode()) % BUCKETS
-    parts = [crc32(b"%d^" % n + word[:n].encode()) % BUCKETS if len(word) > n else own for n in BEGINNINGS]
-    return [own, *parts, crc32(b"$" + word[-ENDING:].encode()) % BUCKETS if len(word) > ENDING else own, crc32(b"word") % BUCKETS]
+    raw = word.encode()
+    own = crc32(raw, _OWN) % BUCKETS
+    size = len(word)
+    if size <= BEGINNINGS[0]:
+        return [own] * (len(BEGINNINGS) + 2) + [_ANY]
+    parts = [crc32(word[:n].encode(), mark) % BUCKETS if size > n else own for n, mark in _MARKS]
+    return [own, *parts, crc32(word[-ENDING:].encode(), _END) % BUCKETS if size > ENDING else own, _ANY]
 
 
 def chain(x: np.ndarray, opens: np.ndarray, step: np.ndarray, start: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
@@ -341,10 +350,10 @@ class _Potentials(dict):
     """Odds of tokens as they are written, made when first met."""
 
     def __init__(self, field: Field):
-        self.field = field
+        self.weights = field.weights.tolist()
 
     def __missing__(self, token: str) -> float:
-        self[token] = value = float(self.field.odds([normal(token)])[0])
+        self[token] = value = exp(min(30.0, max(-30.0, sum([self.weights[i] for i in features(normal(token))]))))
         return value
 
 
