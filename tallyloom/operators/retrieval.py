@@ -302,10 +302,16 @@ def export_rows(queries: DataFrame, retrieved: DataFrame, chunks: DataFrame, fee
 
     With feedback given, only queries rated good are kept: seeds of later training.
     """
-    full = retrieved.join(chunks.select("chunk_id", "chunk_text"), "chunk_id")
-    nested = full.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "chunk_text"))).alias("chunks"))
-    out = queries.select("q_id", "q_text").join(nested, "q_id")
-    if feedback is not None:
-        good = latest_feedback(feedback).filter("verdict = 'good'").select(F.col("query_id").alias("q_id"))
-        out = out.join(good, "q_id", "left_semi")
-    return out
+    out = nested(queries, retrieved.join(chunks.select("chunk_id", "chunk_text"), "chunk_id"))
+    return out if feedback is None else rated_good(out, feedback)
+
+
+def nested(queries: DataFrame, full: DataFrame) -> DataFrame:
+    """Queries with their rows (place, chunk_id, chunk_text) nested in rank order."""
+    lists = full.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "chunk_text"))).alias("chunks"))
+    return queries.select("q_id", "q_text").join(lists, "q_id")
+
+
+def rated_good(queries: DataFrame, feedback: DataFrame) -> DataFrame:
+    good = latest_feedback(feedback).filter("verdict = 'good'").select(F.col("query_id").alias("q_id"))
+    return queries.join(good, "q_id", "left_semi")

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyloom.operators import retrieval as R
+from tallyloom.operators.contentindex import ContentIndex
+from tallyloom.operators.searchindex import SearchIndex
 from tallyloom.plans.registry import query
 from tallyloom.plans.tables import Tables
+from tallyloom.session import ensure_checkpoint_dir, scratch_dir
 
 SIZE, OVERLAP = 200, 20
 N_WORDS = r"len(regexp_extract_all(content, '\S+'))"
@@ -82,10 +87,36 @@ def _(t: Tables):
 COSINE = """s AS (SELECT q_id, vec_id AS chunk_id, round(list_cosine_similarity(CAST(q_vec AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6) AS score FROM @search_queries, @embeddings WHERE q_vec IS NOT NULL)"""
 
 
+def _stored(t: Tables, name: str, tables: list[str], rows) -> SearchIndex:
+    """The index of given tables below the shared folder, written when their files (names, sizes, times) are first met."""
+    seen = hashlib.md5()
+    for table in tables:
+        path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.folder}/{table}.parquet")
+        files = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            seen.update(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n".encode())
+    index = SearchIndex(t.spark, f"{ensure_checkpoint_dir(t.spark)}/{name}-{seen.hexdigest()}")
+    if not index.exists():
+        index.write(rows(t))
+    return index
+
+
+def _vectors(t: Tables) -> SearchIndex:
+    def rows(t):
+        return t.embeddings.select(F.col("vec_id").cast("string").alias("unit"), F.lit(0).alias("pos"), F.col("vec_id").alias("chunk_id"), F.lit(None).cast("string").alias("chunk_text"),
+                                   F.col("embedding").alias("vec"), F.lit("").alias("scope"), F.lit(None).cast("string").alias("path"))
+
+    return _stored(t, "vectors", ["embeddings"], rows)
+
+
+def _index(t: Tables) -> SearchIndex:
+    return _stored(t, "search", ["documents", "embeddings"], _units)
+
+
 @query("vector_topk", f"WITH {COSINE} SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 10")
 def _(t: Tables):
-    chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    return R.vector_topk(t.view("search_queries").select("q_id", "q_vec"), chunks, 10)
+    return _vectors(t).nearest(t.view("search_queries").select("q_id", "q_vec"), 10).drop("bucket")
 
 
 # one vector per label: the mean of its members
@@ -97,21 +128,25 @@ SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, chunk_id) AS
 def _(t: Tables):
     cells = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     means = cells.groupBy(F.col("label").cast("long").alias("q_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q_vec"))
-    chunks = t.embeddings.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vec"))
-    return R.vector_topk(means, chunks, 10)
+    return _vectors(t).nearest(means, 10).drop("bucket")
 
 
-def _chunks(t: Tables):
-    """Chunks of all documents; a document's vector stands for its first chunk."""
+def _units(t: Tables):
+    """Chunks of all documents, a document at a time; a document's vector stands for its first chunk."""
     docs = t.documents.select("doc_id", "lang", "source", F.col("text").alias("content"))
     pieces = R.chunk(docs, SIZE, OVERLAP)
     vectors = t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), F.lit(0).alias("pos"))
     scope = F.when(F.col("lang") == "en", "").otherwise(F.col("lang"))
     return pieces.join(vectors, ["doc_id", "pos"], "left").select(
+        F.col("doc_id").cast("string").alias("unit"), "pos",
         F.conv(F.substring(F.md5(F.concat_ws("/", "doc_id", "pos").cast("binary")), 1, 15), 16, 10).cast("long").alias("chunk_id"), "chunk_text", "vec", scope.alias("scope"),
         F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
 
 
+def _chunks(t: Tables):
+    return _units(t).select("chunk_id", "chunk_text", "vec", "scope", "path")
+
+
 CHUNKS = rf"""w AS (SELECT doc_id, lang, source, regexp_extract_all(text, '\S+') AS ws FROM @documents),
 c0 AS (SELECT doc_id, lang, source, ws, unnest(range(CAST(greatest(1, ceil((len(ws) - {OVERLAP}) / {SIZE - OVERLAP}.0)) AS BIGINT))) AS pos FROM w WHERE len(ws) > 0),
 chunks AS (SELECT CAST('0x' || substr(md5(doc_id || '/' || pos), 1, 15) AS BIGINT) AS chunk_id, array_to_string(ws[pos * {SIZE - OVERLAP} + 1 : pos * {SIZE - OVERLAP} + {SIZE}], ' ') AS chunk_text,
@@ -134,7 +169,16 @@ lexical AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC,
 
 @query("bm25", f"WITH {CHUNKS}, {bm25_sql('chunks', 10)} SELECT q_id, chunk_id, score, rank FROM lexical")
 def _(t: Tables):
-    return R.bm25(t.view("search_queries").select("q_id", "q_text"), _chunks(t).select("chunk_id", "chunk_text"), 10)
+    return _index(t).keyword(t.view("search_queries").select("q_id", "q_text"), 10).drop("bucket")
+
+
+# always written anew: what the searches find when they first meet a folder
+@query("build_index", f"WITH {CHUNKS}, " + r"""b1 AS (SELECT scope, len(regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}_]+')) AS n FROM chunks)
+SELECT coalesce(scope, '') AS scope, count(*) AS n_chunks, CAST(sum(n) AS BIGINT) AS n_terms FROM b1 GROUP BY 1""")
+def _(t: Tables):
+    index = SearchIndex(t.spark, scratch_dir(t.spark, "index"))
+    index.write(_units(t))
+    return index.store.read("totals").groupBy("scope").agg(F.sum("n_chunks").alias("n_chunks"), F.sum("n_terms").alias("n_terms"))
 
 
 @query("postings", f"WITH {CHUNKS}, " + r"""b1 AS (SELECT chunk_id, regexp_extract_all(lower(chunk_text), '[\p{L}\p{N}_]+') AS ts FROM chunks),
@@ -142,7 +186,7 @@ b2 AS (SELECT chunk_id, len(ts) AS n_terms, unnest(ts) AS term FROM b1),
 b3 AS (SELECT chunk_id, term, count(*) AS tf, max(n_terms) AS n_terms FROM b2 GROUP BY ALL)
 SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(n_terms) AS INT) AS longest FROM b3 GROUP BY term""")
 def _(t: Tables):
-    return R.postings(_chunks(t)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("n_terms").alias("longest"))
+    return _index(t).terms()
 
 
 def hybrid_sql(source: str, k: int) -> str:
@@ -155,10 +199,7 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY fused DESC, ch
 
 @query("rrf", f"WITH {CHUNKS}, {hybrid_sql('chunks', 10)} SELECT q_id, chunk_id, fused, n_lists, place FROM fused")
 def _(t: Tables):
-    q, chunks = t.view("search_queries"), _chunks(t)
-    near = R.vector_topk(q.select("q_id", "q_vec"), chunks.select("chunk_id", "vec"), 50)
-    lexical = R.bm25(q.select("q_id", "q_text"), chunks.select("chunk_id", "chunk_text"), 50)
-    return R.rrf([near, lexical], 10)
+    return _index(t).hybrid(t.view("search_queries"), 10).drop("bucket")
 
 
 VISIBLE = "visible AS (SELECT * FROM chunks WHERE scope IN ('', 'fr'))"
@@ -166,12 +207,13 @@ VISIBLE = "visible AS (SELECT * FROM chunks WHERE scope IN ('', 'fr'))"
 
 @query("hybrid_query", f"WITH {CHUNKS}, {VISIBLE}, {hybrid_sql('visible', 6)} SELECT q_id, chunk_id, fused, n_lists, place FROM fused")
 def _(t: Tables):
-    return R.hybrid_query(t.view("search_queries"), _chunks(t), 6, scope="fr")
+    return _index(t).hybrid(t.view("search_queries"), 6, scope="fr").drop("bucket")
 
 
 @query("hybrid_sources", f"WITH {CHUNKS}, {hybrid_sql('chunks', 6)} SELECT DISTINCT q_id, path FROM fused JOIN chunks USING (chunk_id)")
 def _(t: Tables):
-    return R.hybrid_query(t.view("search_queries"), _chunks(t), 6, sources_only=True)
+    index = _index(t)
+    return index.with_texts(index.hybrid(t.view("search_queries"), 6), "path").select("q_id", "path").distinct()
 
 
 def shared_words(q_text: pd.Series, chunk_text: pd.Series) -> pd.Series:
@@ -189,7 +231,7 @@ p AS (SELECT q_id, chunk_id, fused, n_lists, place, list_distinct(regexp_extract
 s AS (SELECT q_id, chunk_id, fused, n_lists, place, round(len([x for x in qs if list_contains(cs, x)]) / greatest(1, len(qs)), 6) AS second FROM p)
 SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY second DESC, chunk_id) AS reranked FROM s QUALIFY reranked <= 6""")
 def _(t: Tables):
-    return R.hybrid_query(t.view("search_queries"), _chunks(t), 6, scorer=shared_words)
+    return _index(t).hybrid(t.view("search_queries"), 6, scorer=shared_words).drop("bucket")
 
 
 SESSIONS = """sess AS (SELECT source, session_id, min(ts) AS first_ts, min(id) AS first_id FROM @rag_queries WHERE session_id IS NOT NULL GROUP BY ALL),
@@ -239,8 +281,8 @@ def _(t: Tables):
 @query("export_queries", f"WITH {CHUNKS}, {hybrid_sql('chunks', 5)} " + """
 SELECT q_id, q_text, count(*) AS n_chunks, string_agg(chunk_id, ',' ORDER BY place) AS chunk_ids FROM fused JOIN @search_queries USING (q_id) GROUP BY ALL""")
 def _(t: Tables):
-    q, chunks = t.view("search_queries"), _chunks(t)
-    rows = R.export_rows(q, R.hybrid_query(q, chunks, 5), chunks)
+    q, index = t.view("search_queries"), _index(t)
+    rows = R.nested(q, index.with_texts(index.hybrid(q, 5)))
     return rows.select("q_id", "q_text", F.size("chunks").cast("long").alias("n_chunks"), F.array_join(F.col("chunks.chunk_id").cast("array<string>"), ",").alias("chunk_ids"))
 
 
@@ -248,6 +290,63 @@ def _(t: Tables):
 SELECT q_id, q_text, string_agg(chunk_text, '|' ORDER BY place) AS context FROM fused JOIN @search_queries USING (q_id) JOIN chunks USING (chunk_id)
 WHERE q_id IN (SELECT query_id FROM latest WHERE verdict = 'good') GROUP BY ALL""")
 def _(t: Tables):
-    q, chunks = t.view("search_queries"), _chunks(t)
-    rows = R.export_rows(q, R.hybrid_query(q, chunks, 5), chunks, t.view("rag_feedback"))
+    # only queries rated good are searched
+    q, index = R.rated_good(t.view("search_queries"), t.view("rag_feedback")), _index(t)
+    rows = R.nested(q, index.with_texts(index.hybrid(q, 5)))
     return rows.select("q_id", "q_text", F.array_join(F.col("chunks.chunk_text"), "|").alias("context"))
+
+
+# ---- an index of files, walked twice
+
+
+def _walked(t: Tables, before, n_buckets: int = 16) -> ContentIndex:
+    """The files of an earlier day are indexed, then the roots are walked again and find those of today."""
+    index = ContentIndex(t.spark, scratch_dir(t.spark, "files"), n_buckets, SIZE, OVERLAP)
+    roots = t.view("rag_roots")
+    gone = roots.select(F.lit("/gone").alias("root"), F.lit(None).cast("string").alias("scope")).limit(1)
+    index.index(before, roots.unionByName(gone))
+    index.reindex(t.view("rag_files"))
+    return index
+
+
+ROOTED = """roots AS (SELECT root, scope FROM @rag_roots UNION ALL SELECT '/gone', NULL),
+now AS (SELECT path, sha256(content) AS sha256, content FROM @rag_files WHERE EXISTS (SELECT 1 FROM roots WHERE starts_with(path, root || '/'))),
+old AS (SELECT path, sha256(content) AS sha256 FROM @rag_before WHERE EXISTS (SELECT 1 FROM roots WHERE starts_with(path, root || '/'))),
+scopes AS (SELECT p.path, arg_max({'s': r.scope}, length(root)).s AS scope FROM (SELECT path FROM now UNION SELECT path FROM old) p JOIN roots r ON starts_with(p.path, root || '/') GROUP BY p.path),
+firsts AS (SELECT sha256, min(path) AS path FROM old GROUP BY 1 UNION ALL SELECT sha256, min(path) FROM now WHERE sha256 NOT IN (SELECT sha256 FROM old) GROUP BY 1)"""
+
+
+# a content that was there keeps its scope; a new one takes that of its least path's root
+@query("reindex_contents", f"""WITH {ROOTED}
+SELECT n.sha256, min(n.path) AS path, count(*) AS n_paths, any_value(s.scope) AS scope, any_value({N_CHUNKS}) AS n_chunks
+FROM now n JOIN firsts f ON n.sha256 = f.sha256 JOIN scopes s ON s.path = f.path GROUP BY n.sha256""")
+def _(t: Tables):
+    found = _walked(t, t.view("rag_before")).contents()
+    return found.select("sha256", "path", "n_paths", "scope", F.col("n_chunks").cast("long").alias("n_chunks"))
+
+
+@query("reindex_terms", rf"""WITH {ROOTED}, u AS (SELECT sha256, any_value(content) AS text FROM now GROUP BY 1),
+w AS (SELECT sha256, regexp_extract_all(text, '\S+') AS ws FROM u),
+c AS (SELECT sha256, ws, unnest(range(CAST(greatest(1, ceil((len(ws) - {OVERLAP}) / {SIZE - OVERLAP}.0)) AS BIGINT))) AS pos FROM w WHERE len(ws) > 0),
+b1 AS (SELECT sha256, pos, regexp_extract_all(lower(array_to_string(ws[pos * {SIZE - OVERLAP} + 1 : pos * {SIZE - OVERLAP} + {SIZE}], ' ')), '[\p{{L}}\p{{N}}_]+') AS ts FROM c),
+b2 AS (SELECT sha256, pos, len(ts) AS n, unnest(ts) AS term FROM b1), b3 AS (SELECT sha256, pos, term, count(*) AS tf, max(n) AS n FROM b2 GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf, CAST(max(n) AS INT) AS longest FROM b3 GROUP BY term""")
+def _(t: Tables):
+    return _walked(t, t.view("rag_before")).terms()
+
+
+# a few files differ: only the buckets of their contents are written again
+FEW = "doc_id % 211 = 5"
+BUCKET = "CAST('0x' || substr(md5(sha256), 1, 15) AS BIGINT) % 64"
+
+
+@query("reindex_buckets", f"""WITH o AS (SELECT DISTINCT sha256(CASE WHEN {FEW} THEN content || ' draft' ELSE content END) AS sha256 FROM @rag_files),
+n AS (SELECT DISTINCT sha256(content) AS sha256 FROM @rag_files),
+d AS (SELECT DISTINCT {BUCKET} AS bucket FROM (SELECT sha256 FROM o WHERE sha256 NOT IN (SELECT sha256 FROM n) UNION ALL SELECT sha256 FROM n WHERE sha256 NOT IN (SELECT sha256 FROM o)) x)
+SELECT CAST(b AS INT) AS bucket, CASE WHEN b IN (SELECT bucket FROM d) THEN 2 ELSE 1 END AS written FROM range(64) r(b)""")
+def _(t: Tables):
+    files = t.view("rag_files")
+    before = files.withColumn("content", F.when(F.expr(FEW), F.concat("content", F.lit(" draft"))).otherwise(F.col("content")))
+    index = _walked(t, before, 64)
+    newest = index.store.manifests().where("of = 'postings'").groupBy("bucket").agg(F.max_by("written", "version").alias("written"))
+    return newest.select("bucket", "written")
