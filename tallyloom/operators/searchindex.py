@@ -27,7 +27,7 @@ from tallyloom.operators.retrieval import B, K1, RRF_CONSTANT, Scorer, rerank, t
 from tallyloom.operators.store import Store, bucket_of
 from tallyloom.session import cut_lineage
 
-SEGMENT_CHUNKS, CELL_CHUNKS = 8192, 256
+SEGMENT_CHUNKS, CELL_CHUNKS, CELL_VECTORS = 8192, 512, 128
 #: Cells that each query is scored on first
 FIRST_CELLS = 3
 #: Terms of queries, and bytes of queries' vectors, that go to all tasks at a time
@@ -82,10 +82,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield done()
 
 
-def _cells(scopes: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
-    """Rows in ``order``, which goes by scope first, cut into cells of one scope."""
-    cuts = np.flatnonzero(scopes[order][1:] != scopes[order][:-1]) + 1
-    return [part[i : i + CELL_CHUNKS] for part in np.split(order, cuts) for i in range(0, len(part), CELL_CHUNKS)]
+def _cells(keys: list[np.ndarray], order: np.ndarray, size: int) -> list[np.ndarray]:
+    """Rows in ``order``, which goes by these keys first, cut into cells of ``size`` rows that agree in them."""
+    sorted_keys = [k[order] for k in keys]
+    cuts = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in sorted_keys])) + 1
+    return [part[i : i + size] for part in np.split(order, cuts) for i in range(0, len(part), size)]
 
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
         chunk = np.repeat(np.arange(len(ids)), sizes)
         cell_of, cell_scope, cell_id = np.empty(len(ids), np.int64), [], []
-        for c, rows in enumerate(_cells(scopes, np.lexsort((ids, sizes, scopes.astype(str))))):
+        for c, rows in enumerate(_cells([scopes], np.lexsort((ids, sizes, scopes.astype(str))), CELL_CHUNKS)):
             cell_of[rows] = c
             cell_scope.append(scopes[rows[0]])
             cell_id.append(int(ids[rows].min()))
@@ -131,7 +132,7 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 
 def _near(m: np.ndarray, rounds: int = 4) -> np.ndarray:
     """A number for each row of unit vectors, alike for neighbours: the nearest of some centres, found among the rows themselves."""
-    n = max(1, len(m) // CELL_CHUNKS)
+    n = max(1, len(m) // CELL_VECTORS)
     centres = m[np.linspace(0, len(m) - 1, n).astype(int)]
     for _ in range(rounds):
         nearest = (m @ centres.T).argmax(1)
@@ -152,7 +153,7 @@ def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.flatnonzero(sizes == dim)
             m = unit(values[starts[rows][:, None] + np.arange(dim)].astype(np.float64))
             near = _near(m)
-            for part in _cells(scopes[rows], np.lexsort((ids[rows], near, scopes[rows].astype(str)))):
+            for part in _cells([scopes[rows], near], np.lexsort((ids[rows], near, scopes[rows].astype(str))), CELL_VECTORS):
                 inside = m[part]
                 centre = unit(inside.sum(0, keepdims=True))[0]
                 angle = float(np.arccos(np.clip(inside @ centre, -1, 1)).max()) if centre.any() and np.abs(inside).sum(1).all() else np.pi
