@@ -20,7 +20,7 @@ from tallyloom.llm.common import id_and_text, per_text
 from tallyloom.llm.wordbpe import BORDER, Memo, Vocabulary, public_path, vocabulary
 
 GATHER = 1 << 16
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 250_000
 
 
 class Encoder:
@@ -96,15 +96,16 @@ class OffsetTable:
     def __init__(self, words: Vocabulary):
         spelt = [b" " + s.encode() for s in words.spelling]
         self.bytes = np.frombuffer(b"".join(spelt), np.uint8)
-        self.start = np.cumsum([0, *map(len, spelt)])
+        # all spellings together are far from 2^31 bytes, and so is what is decoded at a time
+        self.start = np.cumsum([0, *map(len, spelt)]).astype(np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         out = []
         for at in range(0, len(ids), GATHER):
             some = ids[at : at + GATHER]
             begin, size = self.start[some], self.start[some + 1] - self.start[some]
-            to = np.cumsum(size)
-            out.append(self.bytes[np.repeat(begin - to + size, size) + np.arange(to[-1])].tobytes())
+            to = np.cumsum(size, dtype=np.int32)
+            out.append(self.bytes[np.repeat(begin - to + size, size) + np.arange(to[-1], dtype=np.int32)].tobytes())
         return b"".join(out)[1:]
 
 

@@ -23,14 +23,16 @@ from tallyloom.session import cut_lineage
 
 LIMIT = 2048
 END = 1
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 250_000
 
-_MEMOS: dict[str, Memo] = {}
+#: Bytes of chunks that a worker remembers, in each of two generations
+MEMO_BYTES = 80 << 20
+_MEMOS: dict[tuple[str, int], Memo] = {}
 
 
-def library_memo(path: str) -> Memo:
+def library_memo(path: str, room: int = MEMO_BYTES) -> Memo:
     """Ids of chunks as little-endian 32-bit integers, remembered per worker; each word goes through the library's merges once."""
-    if path not in _MEMOS:
+    if (path, room) not in _MEMOS:
         words = vocabulary(path)
         merges = words.rules.model
         char = {b: c for c, b in words.byte.items()}
@@ -51,8 +53,8 @@ def library_memo(path: str) -> Memo:
                 known.clear()
             return [b"".join(map(ids_of, part)) for part in words.pretokens(chunks, mark=False)]
 
-        _MEMOS[path] = Memo(make)
-    return _MEMOS[path]
+        _MEMOS[path, room] = Memo(make, room=room)
+    return _MEMOS[path, room]
 
 
 def binary_lengths(n: int, limit: int = LIMIT) -> list[int]:
@@ -60,7 +62,7 @@ def binary_lengths(n: int, limit: int = LIMIT) -> list[int]:
     return [limit] * (n // limit) + [1 << bit for bit in range(limit.bit_length() - 2, -1, -1) if n % limit >> bit & 1]
 
 
-def pack(docs: DataFrame, limit: int = LIMIT, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, limit: int = LIMIT, path: str | None = None, with_ids: bool = False, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """Documents to one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
     Sequences are numbered from 0 without a gap, the longest first, so that those of one length are neighbours. Every document ends
@@ -73,7 +75,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, path: str | None = None, with_ids:
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "slot"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, task, slots = library_memo(path), TaskContext.get().partitionId(), Counter()
+        memo, task, slots = library_memo(path, memo_bytes), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             rows: list[tuple] = []
             ids: list = []

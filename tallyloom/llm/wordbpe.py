@@ -11,6 +11,7 @@ import json
 import unicodedata
 from collections.abc import Callable
 from functools import cached_property, lru_cache
+from sys import getsizeof
 
 import regex
 from tokenizers import Tokenizer
@@ -20,6 +21,8 @@ WORD_VOCABULARY = "word_bpe_49k.json"
 # the file's own split pattern with blanks spelt out, as its library understands \s
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x85\p{Z}\p{L}\p{N}]+")
 SPLIT_LINES = regex.compile(SPLIT.pattern + r"|\n")
+#: Bytes of an entry of a dictionary besides its key and value
+SLOT = 100
 BORDER = "\uffff"  # between words that are searched together; in no token
 
 
@@ -168,12 +171,16 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Memo:
-    """Remembers what was made of chunks, in two generations of bounded size: what is asked again moves to the new one."""
+    """Remembers what was made of chunks, in two generations of bounded size: what is asked again moves to the new one.
 
-    def __init__(self, make: Callable[[list[bytes]], list], entries: int = 200_000):
-        self.make, self.entries = make, entries
+    A generation ends at ``room`` bytes, as Python counts what it holds, or at ``entries``.
+    """
+
+    def __init__(self, make: Callable[[list[bytes]], list], entries: int = 400_000, room: int = 80 << 20):
+        self.make, self.entries, self.room = make, entries, room
         self.new: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
+        self.held = 0
 
     def all_of(self, chunks: list[bytes]) -> list:
         """What was made of each chunk, in order."""
@@ -190,8 +197,10 @@ class Memo:
             else:
                 mine[c] = g
         mine.update(zip(missing, self.make(missing), strict=True))
-        if len(self.new) + len(mine) > self.entries:
-            self.old, self.new = self.new, {}
-        if len(mine) <= self.entries:
+        size = SLOT * len(mine) + sum(map(getsizeof, mine)) + sum(map(getsizeof, mine.values()))
+        if len(self.new) + len(mine) > self.entries or self.held + size > self.room:
+            self.old, self.new, self.held = self.new, {}, 0
+        if len(mine) <= self.entries and size <= self.room:
             self.new.update(mine)
+            self.held += size
         return [mine[c] if g is None else g for c, g in zip(chunks, got, strict=True)]
