@@ -71,6 +71,15 @@ def _(t: Tables):
 
 
 @query("stream_dedup", "SELECT sha256(text) AS sha256 FROM @documents GROUP BY 1")
+def _(t: Tables):
+    docs = StreamTables(t.spark, t.folder).documents
+    arriving = docs.select(F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    folder = scratch_dir(t.spark, "dedup")
+    return S.run_to_end(S.stream_first_contents(arriving), folder, "update", handle=S.write_newcomers(f"{folder}/rows")).select("sha256")
+
+
+# copies that arrive within the watermark are dropped by the state, all others by the written table
+@query("stream_dedup_watermark", "SELECT sha256(text) AS sha256 FROM @documents GROUP BY 1")
 def _(t: Tables):
     docs = StreamTables(t.spark, t.folder).documents
     arriving = docs.select(F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"),
@@ -83,7 +92,19 @@ def _(t: Tables):
 def _(t: Tables):
     folder = scratch_dir(t.spark, "sessions")
     log = _live(t, "rag_queries").select("id", "ts", "source", "session_id")
-    return S.run_to_end(log, folder, handle=S.number_new_sessions(f"{folder}/rows"))
+    return S.run_to_end(S.stream_first_sessions(log), folder, "update", handle=S.number_newcomers(f"{folder}/rows", f"{folder}/counters"))
+
+
+# event time: hours that the watermark has closed
+@query("stream_reward_hours", LOG + """
+, h AS (SELECT run, CAST(floor(line_no / 60) AS BIGINT) AS hour, reward FROM log WHERE reward IS NOT NULL),
+m AS (SELECT max(line_no) * 60 - 3600 AS mark FROM log WHERE reward IS NOT NULL)
+SELECT run, hour, count(*) AS n, round(avg(reward), 7) AS mean_reward FROM h, m WHERE (hour + 1) * 3600 <= mark GROUP BY run, hour""")
+def _(t: Tables):
+    # a line a minute
+    log = parse_training_log(_live(t, "log_lines"), fields=("reward",)).withColumn("ts", F.timestamp_seconds(F.col("line_no") * 60))
+    out = S.run_to_end(S.stream_reward_hours(log), scratch_dir(t.spark, "hours"))
+    return out.select("run", F.floor(F.unix_timestamp("hour") / 3600).alias("hour"), "n", F.round("mean_reward", 7).alias("mean_reward"))
 
 
 @query("stream_order_states", ORDER_WALK.replace("@order_events", "@shipments"))

@@ -24,6 +24,8 @@ def get_session(app: str = "tallyloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # keyed state of streams lies on disk, not on the heap
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     }
     settings.update(conf)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -54,6 +54,8 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append", handle: Bat
     query.awaitTermination()
     spark = stream.sparkSession
     if mode == "complete":
+        if not seen:
+            raise ValueError("no batch ran: the source is empty, or was read to its end before")
         return spark.read.parquet(batch_folder(f"{folder}/rows", max(seen)))
     rows = spark.read.parquet(f"{folder}/rows")
     if mode == "update" and key:
@@ -158,6 +160,62 @@ def number_new_sessions(folder: str) -> BatchFn:
     return handle
 
 
+# ---- keyed state: what is known of a key lies in the state store, and a batch looks up its own keys only
+
+
+def first_seen(stream: DataFrame, keys: list[str], *about: Column) -> DataFrame:
+    """A row per key that a batch meets (update mode), with ``about`` it, and when its first and its last batch began.
+
+    The two times are equal in the batch that meets a key first, and a repeated batch has the times it had before.
+    """
+    # the time at which the batch began, the same for all its rows
+    timed = stream.withColumn("batch_time", F.current_timestamp())
+    return timed.groupBy(*keys).agg(*about, F.min("batch_time").alias("born"), F.max("batch_time").alias("met"))
+
+
+def newcomers(df: DataFrame) -> DataFrame:
+    return df.where("born = met").drop("born", "met")
+
+
+def stream_first_contents(docs: DataFrame) -> DataFrame:
+    """Contents with the least path of the batch in which they are first seen; state for all contents, without a watermark."""
+    return first_seen(docs.select("path", F.sha2("content", 256).alias("sha256")), ["sha256"], F.min("path").alias("path"))
+
+
+def write_newcomers(folder: str) -> BatchFn:
+    """The keys that no earlier batch has met, of a stream of ``first_seen``; nothing written before is read."""
+    def handle(df: DataFrame, batch: int) -> None:
+        newcomers(df).write.mode("overwrite").parquet(batch_folder(folder, batch))
+
+    return handle
+
+
+def stream_first_sessions(log: DataFrame) -> DataFrame:
+    """Sessions with their first query in the batch that meets them first."""
+    return first_seen(log.filter("session_id IS NOT NULL"), ["source", "session_id"], F.min("ts").alias("first_ts"), F.min("id").alias("first_id"))
+
+
+COUNTERS = "source string, last long"
+
+
+def number_newcomers(folder: str, counters: str) -> BatchFn:
+    """Give each session its source's next number when it is first seen, of a stream of ``stream_first_sessions``.
+
+    One row per source says how far it has come; each batch reads the rows of the batch before and writes its own. Sessions of a
+    busy source are spread like any others.
+    """
+    def handle(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        known = spark.read.schema(COUNTERS).parquet(batch_folder(counters, batch - 1)) if batch else spark.createDataFrame([], COUNTERS)
+        numbered = number_rows(newcomers(df), ["source"], ["first_ts", "first_id"], "_nth").join(known, "source", "left")
+        numbered.select("source", "session_id", (F.col("_nth") + F.coalesce("last", F.lit(0))).alias("seq")).write.mode("overwrite").parquet(batch_folder(folder, batch))
+        written = spark.read.schema("source string, session_id string, seq long").parquet(batch_folder(folder, batch))
+        both = known.unionByName(written.select("source", F.col("seq").alias("last"))).groupBy("source").agg(F.max("last").alias("last"))
+        both.coalesce(1).write.mode("overwrite").parquet(batch_folder(counters, batch))
+
+    return handle
+
+
 def stream_order_states(events: DataFrame) -> DataFrame:
     """State of every order after the events so far (update mode): the batch fold, one trigger at a time."""
     state_schema = "state string, paid long, refund long, history string, rejected long"

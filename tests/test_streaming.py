@@ -38,6 +38,36 @@ def test_dedup_over_batches_and_a_repeated_batch(spark, tmp_path):
     assert sorted((r["sha256"], r["path"]) for r in spark.read.parquet(folder).collect()) == [("s1", "/a"), ("s2", "/c"), ("s3", "/e")]
 
 
+def test_keyed_state_numbers_sessions_without_reading_history(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "_earlier", None)
+    schema = "id long, ts long, source string, session_id string"
+    parts = [[(1, 10, "a", "u1"), (2, 11, "a", "u2"), (3, 12, "b", "u9")], [(4, 20, "a", "u1"), (5, 21, "a", "u3"), (6, 22, "c", None)], [(7, 30, "b", "u8"), (8, 31, "a", "u2"), (9, 32, "a", "u0")]]
+    folder = f"{tmp_path}/out"
+
+    def run():
+        found = S.stream_first_sessions(stream(spark, f"{tmp_path}/in", schema, parts))
+        return S.run_to_end(found, folder, "update", handle=S.number_newcomers(f"{folder}/rows", f"{folder}/counters"))
+
+    drop_files(spark, f"{tmp_path}/in", parts[:2], schema)
+    assert {(r["source"], r["session_id"]): r["seq"] for r in run().collect()} == {("a", "u1"): 1, ("a", "u2"): 2, ("a", "u3"): 3, ("b", "u9"): 1}
+    # a restart goes on where the state was left
+    drop_files(spark, f"{tmp_path}/in/more", parts[2:], schema)
+    got = {(r["source"], r["session_id"]): r["seq"] for r in run().collect()}
+    whole = spark.createDataFrame([r for p in parts for r in p], schema)
+    assert got == {(r["source"], r["session_id"]): r["seq"] for r in R.number_sessions(whole).collect()} and len(got) == 6
+    assert {r["source"]: r["last"] for r in spark.read.parquet(f"{folder}/counters/batch=00000002").collect()} == {"a": 4, "b": 2}
+    assert run().count() == 6
+
+
+def test_keyed_state_keeps_each_content_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "_earlier", None)
+    schema = "path string, content string"
+    drop_files(spark, f"{tmp_path}/in", [[("/b", "x"), ("/a", "x"), ("/c", "y")], [("/0", "x"), ("/d", "z")], [("/e", "z"), ("/f", None)]], schema)
+    folder = f"{tmp_path}/out"
+    out = S.run_to_end(S.stream_first_contents(stream(spark, f"{tmp_path}/in", schema, None)), folder, "update", handle=S.write_newcomers(f"{folder}/rows"))
+    assert sorted(r["path"] for r in out.collect()) == ["/a", "/c", "/d", "/f"]
+
+
 def test_tripwire_stops_the_query(spark, tmp_path):
     schema = "run string, line_no long, step long, b_max double, kl double, nonfinite long"
     drop_files(spark, f"{tmp_path}/in", [[("r", 1, 1, 0.1, 0.0, 0)], [("r", 2, 2, 1.5, None, 3)]], schema)
