@@ -1,4 +1,9 @@
-"""Byte-pair vocabularies learned from word counts, and encoding with them."""
+"""Byte-pair vocabularies learned from word counts, and encoding with them.
+
+A plain vocabulary knows words and runs of punctuation; decoding sets its tokens apart by blanks, so texts come back as they
+were only if no word was cut. A lossless one has symbols that carry the blank before them, all other white space as symbols of its own,
+and bytes for letters that were never seen, so that its tokens, joined, are the text.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.text import strip
 from tallyloom.operators.corpus import word_counts
 from tallyloom.session import cut_lineage, spread
 
@@ -19,6 +25,8 @@ OPEN, CLOSE = "\t", "\n"
 ROUNDS_PER_CHECKPOINT = 8
 LOOK_AHEAD = 256
 MEMO_WORDS = 200_000
+PLAIN, LOSSLESS = r"\w+|[^\w\s]+", r" ?\w+| ?[^\w\s]+|\s"
+BYTES = tuple(f"<0x{b:02X}>" for b in range(256))
 
 
 @dataclass
@@ -27,6 +35,7 @@ class Vocabulary:
 
     tokens: dict[str, int] = field(default_factory=dict)
     merges: list[tuple[str, str]] = field(default_factory=list)
+    lossless: bool = False
 
     def add(self, token: str) -> None:
         self.tokens.setdefault(token, len(self.tokens))
@@ -34,7 +43,7 @@ class Vocabulary:
     def first(self, size: int) -> Vocabulary:
         """The smaller vocabulary that the same training would have stopped at."""
         tokens = {t: i for t, i in self.tokens.items() if i < size}
-        return Vocabulary(tokens, [(a, b) for a, b in self.merges if a + b in tokens])
+        return Vocabulary(tokens, [(a, b) for a, b in self.merges if a + b in tokens], self.lossless)
 
 
 def _framed(symbol: str) -> str:
@@ -79,20 +88,35 @@ def independent_prefix(ranked: list[tuple[str, str, int]], known: set[str], comp
     return [(a, b) for a, b, _ in ranked[: max(1, size)]]
 
 
-def train_bpe(df: DataFrame, vocab_size: int, specials: tuple[str, ...] = SPECIALS, text: str = "text") -> Vocabulary:
+def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
+    """How often each piece of a lossless split occurs: words and punctuation with the blank before them, and single white space."""
+    pieces = F.regexp_extract_all(text, F.lit(f"(?U){LOSSLESS}"), F.lit(0))
+    return df.select(F.explode(pieces).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+
+
+def train_bpe(df: DataFrame, vocab_size: int, specials: tuple[str, ...] = SPECIALS, text: str = "text", lossless: bool = False) -> Vocabulary:
     """Learn merges on the table of distinct words.
 
     The corpus is read once, for the word counts. Each round aggregates pair counts over the distinct
     words and brings the few best pairs to the driver; several independent merges share a round.
     Ties go to the pair that sorts first. The words table is checkpointed every few rounds.
     """
-    counts = word_counts(df, text)
+    vocab = Vocabulary(lossless=lossless)
+    spaces: list[str] = []
+    if lossless:
+        counts = cut_lineage(piece_counts(df, text))
+        # white space that stands alone never merges: as many rows as there are such characters
+        alone = F.col("word").rlike(r"(?U)\A\s\z")
+        spaces = [r["word"] for r in counts.where(alone).select("word").collect()]
+        counts = counts.where(~alone)
+        specials = (*specials, *BYTES)
+    else:
+        counts = word_counts(df, text)
     framed = F.regexp_replace("word", "(?s)(.)", _framed("$1"))
     vocab_words = cut_lineage(counts.select("n", framed.alias("syms")).repartition(spread(df.sparkSession)))
     letters = vocab_words.select(F.explode(F.split(F.expr("substring(syms, 2, length(syms) - 2)"), CLOSE + OPEN)).alias("c")).distinct()
-    vocab = Vocabulary()
     # an alphabet: bounded by the characters that exist
-    for token in [*specials, *sorted(r["c"] for r in letters.collect())]:
+    for token in [*specials, *sorted({*spaces, *(r["c"] for r in letters.collect())})]:
         vocab.add(token)
     rounds = 0
     while len(vocab.tokens) < vocab_size:
@@ -120,12 +144,12 @@ def encode(text: Column, vocab: Vocabulary, unknown: str = "[UNK]") -> Column:
     One Arrow pass without a shuffle: each task remembers the words it has encoded (up to MEMO_WORDS of them), so a
     frequent word costs one lookup. Joining exploded words to a table of encodings would shuffle every token twice.
     """
-    tokens, rank = vocab.tokens, {pair: i for i, pair in enumerate(vocab.merges)}
+    tokens, rank, lossless = vocab.tokens, {pair: i for i, pair in enumerate(vocab.merges)}, vocab.lossless
     unk = tokens[unknown]
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        shape = re.compile(r"\w+|[^\w\s]+")
+        shape = re.compile(LOSSLESS if lossless else PLAIN)
         known: dict[str, list[int]] = {}
 
         def word_ids(word: str) -> list[int]:
@@ -148,6 +172,8 @@ def encode(text: Column, vocab: Vocabulary, unknown: str = "[UNK]") -> Column:
                 parts = merged
             if len(known) >= MEMO_WORDS:
                 known.clear()
+            if lossless:  # a letter that was never seen is its bytes
+                parts = [q for p in parts for q in ([p] if p in tokens else [BYTES[b] for b in p.encode()])]
             known[word] = [tokens.get(p, unk) for p in parts]
             return known[word]
 
@@ -158,9 +184,18 @@ def encode(text: Column, vocab: Vocabulary, unknown: str = "[UNK]") -> Column:
 
 
 def decode(ids: Column, vocab: Vocabulary, skip: tuple[str, ...] = SPECIALS) -> Column:
-    """Token ids to text, tokens set apart by blanks; special tokens may be left out."""
+    """Token ids to text, tokens set apart by blanks, or joined if the vocabulary is lossless; special tokens may be left out."""
     names = {i: t for t, i in vocab.tokens.items()}
     hidden = set(skip)
+    if vocab.lossless:
+        byte = {t: bytes([b]) for b, t in enumerate(BYTES)}
+        raw = {i: b"" if t in hidden else byte.get(t) or t.encode() for i, t in names.items()}
+
+        @F.pandas_udf("string")
+        def join(rows: pd.Series) -> pd.Series:
+            return rows.map(lambda row: None if row is None else b"".join(raw.get(int(i), b"") for i in row).decode("utf-8", "replace"))
+
+        return join(ids)
 
     @F.pandas_udf("string")
     def run(rows: pd.Series) -> pd.Series:
@@ -173,10 +208,10 @@ def roundtrip_audit(df: DataFrame, vocabs: dict[str, Vocabulary], text: str = "t
     """Per tokenizer: OK only if encoding and decoding gives every text back as it was, stripped. Letters alone are counted besides."""
     out = None
     for name, vocab in vocabs.items():
-        back = decode(encode(F.col(text), vocab), vocab, skip=())
+        back = strip(decode(encode(F.col(text), vocab), vocab, skip=()))
         squeezed = F.regexp_replace("_back", r"(?U)\s+", "") == F.regexp_replace(text, r"(?U)\s+", "")
         rows = df.select(text, back.alias("_back")).select(
-            F.lit(name).alias("tokenizer"), (F.col("_back") == F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")).alias("same"), squeezed.alias("same_letters"))
+            F.lit(name).alias("tokenizer"), (F.col("_back") == strip(F.col(text))).alias("same"), squeezed.alias("same_letters"))
         out = rows if out is None else out.unionByName(rows)
     report = out.groupBy("tokenizer").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("same").alias("n_same"), F.count_if("same_letters").alias("n_same_letters"), F.bool_and(F.coalesce("same", F.lit(False))).alias("_ok"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -89,14 +87,7 @@ COSINE = """s AS (SELECT q_id, vec_id AS chunk_id, round(list_cosine_similarity(
 
 def _stored(t: Tables, name: str, tables: list[str], rows) -> SearchIndex:
     """The index of given tables below the shared folder, written when their files (names, sizes, times) are first met."""
-    seen = hashlib.md5()
-    for table in tables:
-        path = t.spark._jvm.org.apache.hadoop.fs.Path(f"{t.folder}/{table}.parquet")
-        files = path.getFileSystem(t.spark._jsc.hadoopConfiguration()).listFiles(path, True)
-        while files.hasNext():
-            f = files.next()
-            seen.update(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n".encode())
-    index = SearchIndex(t.spark, f"{ensure_checkpoint_dir(t.spark)}/{name}-{seen.hexdigest()}")
+    index = SearchIndex(t.spark, f"{ensure_checkpoint_dir(t.spark)}/{name}-{t.state(*tables)}")
     if not index.exists():
         index.write(rows(t))
     return index

@@ -74,6 +74,17 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def state(self, *names: str) -> str:
+        """A digest of the files of some tables: paths, sizes and times of change."""
+        seen = hashlib.md5()
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}.parquet")
+            files = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listFiles(path, True)
+            while files.hasNext():
+                f = files.next()
+                seen.update(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}\n".encode())
+        return seen.hexdigest()
+
     @cached_property
     def prefix(self) -> str:
         return "t" + hashlib.md5(self.folder.encode()).hexdigest()[:10] + "_"

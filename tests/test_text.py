@@ -89,7 +89,41 @@ def test_bpe_equals_one_merge_at_a_time(spark):
     assert vocab.first(30).tokens == small_tokens and vocab.first(30).merges == small_merges
     back = df.select("text", V.decode(V.encode(F.col("text"), vocab), vocab).alias("b")).collect()
     assert all(r["b"].replace(" ", "") == r["text"].replace(" ", "") for r in back)
-    assert V.roundtrip_audit(df, {"v": vocab}).first()["verdict"] == "OK"
+    audit = V.roundtrip_audit(df, {"v": vocab}).first()
+    same = sum(" ".join(p for w in t.split() for p in merged(w, merges)) == t for t in texts)
+    # merges cut words, and decoding sets the parts apart
+    assert (audit["n_same"], audit["n_same_letters"], audit["verdict"]) == (same, len(texts), "OK" if same == len(texts) else "BROKEN") and same < len(texts)
+
+
+def merged(word, merges):
+    out = []
+    for run in re.findall(r"\w+|[^\w\s]+", word):
+        parts = list(run)
+        for pair in merges:
+            i = 0
+            while i + 1 < len(parts):
+                if (parts[i], parts[i + 1]) == pair:
+                    parts[i : i + 2] = ["".join(pair)]
+                i += 1
+        out += parts
+    return out
+
+
+def test_lossless_vocabulary_gives_every_text_back(spark):
+    texts = ["the hen, then  the ban!?", " ban\tan\n\nana ", "", "nab the then", "  ", "x!?! x!?!\u00a0the"]
+    unseen = ["\u6771\u4eac \U0001f600 the hen", "<0x41> caf\u00e9", "A\r\nB"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    vocab = V.train_bpe(df, 320, lossless=True)
+    assert vocab.merges and any(t.startswith(" ") and len(t) > 1 for t in vocab.tokens)
+    both = spark.createDataFrame([(t,) for t in texts + unseen], "text string")
+    back = both.select("text", V.decode(V.encode(F.col("text"), vocab), vocab).alias("back"), V.encode(F.col("text"), vocab).alias("ids")).collect()
+    assert all(r["back"] == r["text"] for r in back) and all(1 not in r["ids"] for r in back)
+    assert tuple(V.roundtrip_audit(both, {"v": vocab}).first()) == ("v", 9, 9, 9, "OK")
+    # one that loses blanks is found out
+    torn = V.Vocabulary({t: i for t, i in vocab.tokens.items()}, vocab.merges, False)
+    assert V.roundtrip_audit(both, {"v": torn}).first()["verdict"] == "BROKEN"
+    small = vocab.first(290)
+    assert small.lossless and V.roundtrip_audit(both, {"v": small}).first()["verdict"] == "OK"
 
 
 def test_encode_marks_unknown_letters(spark):
