@@ -48,3 +48,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def crc_of_id(mod: int, key: str = "doc_id"):
     """crc32 of the id written as text, modulo ``mod``."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % mod
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name that is not among those taken, whatever their case."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name

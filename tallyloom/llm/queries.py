@@ -53,7 +53,16 @@ def _secret_sql() -> str:
     )
     w = secret_scan.WINDOW
     most = lambda least: int(secret_scan.UNIT * w * (log2(w) - least))
-    allowed = " OR ".join(f"regexp_matches(s, {quoted(p)})" for p in secret_scan.ALLOWED if "\\1" not in p)
+    whole = [p for p in secret_scan.ALLOWED if p not in secret_scan.SAMPLES]
+    allowed = " OR ".join(f"regexp_matches(s, {quoted(p)})" for p in whole)
+    # samples give way to blanks, one after the other; of ten equal characters, each character by itself
+    cleared = "rest"
+    for sample in secret_scan.SAMPLES:
+        for one in sample.split("|"):
+            if "\\1" in one:
+                cleared = f"list_reduce(list_prepend({cleared}, list_distinct(string_split(rest, ''))), lambda p, c: replace(p, repeat(c, 10), repeat(' ', 10)))"
+            else:
+                cleared = f"replace({cleared}, {quoted(one)}, '{' ' * len(one)}')"
     classes = secret_scan.CLASSES
     case = lambda make: "CASE " + " ".join(f"WHEN regexp_matches(s, {quoted(c[1])}) THEN {make(c)}" for c in classes) + " END"
     spelt = "string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank, z)"
@@ -63,10 +72,18 @@ p AS (SELECT doc_id, rank, m, g, unnest(range(1, len(m) + 1)) AS i FROM f),
 s AS (SELECT doc_id, rank, m[i] AS s, CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS a FROM p),
 base AS (SELECT doc_id, rank, a, a + length(s) AS z, ['assign', 'access', 'hex'][rank + 1] AS kind FROM s
   WHERE rank IN (1, 2) OR (rank = 0 AND length(regexp_extract(s, {quoted(secret_scan.ASSIGN)}, 2)) >= {secret_scan.ASSIGN_LEAST})),
+run AS (SELECT doc_id, a, s, row_number() OVER () AS id FROM s WHERE rank = 9 AND NOT ({allowed})),
+cut AS (SELECT run.id, any_value(run.doc_id) AS doc_id, any_value(run.a) AS a, any_value(run.s) AS s,
+    list({{'s': '', 'a': greatest(b.a, run.a) - run.a, 'z': least(b.z, run.a + length(run.s)) - run.a}} ORDER BY b.a, b.rank) FILTER (b.a IS NOT NULL) AS bs
+  FROM run LEFT JOIN base b ON b.doc_id = run.doc_id AND b.a < run.a + length(run.s) AND run.a < b.z GROUP BY run.id),
+bare AS (SELECT doc_id, a, list_reduce(list_prepend({{'s': s, 'a': CAST(0 AS BIGINT), 'z': CAST(0 AS BIGINT)}}, coalesce(bs, [])),
+    lambda p, x: {{'s': substr(p.s, 1, x.a) || repeat(' ', x.z - x.a) || substr(p.s, x.z + 1), 'a': CAST(0 AS BIGINT), 'z': CAST(0 AS BIGINT)}}).s AS rest FROM cut),
+clear AS (SELECT doc_id, a, {cleared} AS rest FROM bare),
+hits AS (SELECT doc_id, a AS a0, regexp_extract_all(rest, {quoted(secret_scan.CANDIDATE)}) AS m, string_split_regex(rest, {quoted(secret_scan.CANDIDATE)}) AS g FROM clear),
+one AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hits),
+part AS (SELECT doc_id, m[i] AS s, a0 + CAST(list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN m[1:i - 1]]), 0) AS BIGINT) AS a FROM one),
 r AS (SELECT *, {case(lambda c: secret_scan.KINDS.index(c[0]))} AS k, {case(lambda c: most(c[3]))} AS most,
-    {case(lambda c: "lower(s)" if c[0] == "entropy_hex" else "s")} AS t FROM s
-  WHERE rank = 9 AND NOT ({allowed}) AND len([c FOR c IN string_split(s, '') IF contains(s, repeat(c, 10))]) = 0
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = s.doc_id AND b.a < s.a + length(s.s) AND s.a < b.z)),
+    {case(lambda c: "lower(s)" if c[0] == "entropy_hex" else "s")} AS t FROM part WHERE NOT ({allowed})),
 w AS (SELECT doc_id, k, most, a, i, substr(t, i + 1, {w}) AS w FROM (SELECT *, unnest(range(length(t) - {w - 1})) AS i FROM r)),
 h AS (SELECT *, list_sum([CAST(round({secret_scan.UNIT} * n * log2(n)) AS BIGINT) FOR n IN [length(w) - length(replace(w, c, '')) FOR c IN list_distinct(string_split(w, ''))]]) AS total FROM w),
 e AS (SELECT doc_id, k AS rank, a + min(i) AS a, a + max(i) + {w} AS z, {list(secret_scan.KINDS)}[k + 1] AS kind FROM h WHERE total <= most GROUP BY doc_id, k, h.a),

@@ -12,6 +12,8 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.llm.common import free_name
+
 # fixed values: the forms that every scan reports
 ASSIGN_WORDS = "password|passwd|secret|token|api_?key"
 ASSIGN_REST = r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -69,23 +71,43 @@ def _spans(places: Column, kind: str) -> Column:
     return F.transform(places, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind")))
 
 
+#: Counts of a window need five bits each; a long holds twelve
+BITS, PER_LONG = 5, 12
+
+
 def _windows(s: Column, alphabet: str, least: float) -> Column:
-    """From the start of the first window of enough entropy to the end of the last one; (-1, -1) if there is none."""
+    """From the start of the first window of enough entropy to the end of the last one; (-1, -1) if there is none.
+
+    The counts of the alphabet lie in a few longs, so that moving on is two additions.
+    """
     weight = F.array(*(F.lit(round(UNIT * c * log2(c)) if c else 0).cast("long") for c in range(WINDOW + 2)))
     most = int(UNIT * WINDOW * (log2(WINDOW) - least))
+    longs = [f"c{i}" for i in range(-(-len(alphabet) // PER_LONG))]
     codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
     steps = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= WINDOW, F.get(codes, i - WINDOW)).otherwise(-1).alias("old"), i.alias("i")))
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    none = F.lit(0).cast("long")
+    zero = F.struct(*[none.alias(c) for c in longs], none.alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    place = lambda code: (code % PER_LONG) * BITS
+    part = lambda code: F.floor(code / PER_LONG)
 
     def step(acc, x):
         old, new = x["old"], x["new"]
-        gone = F.when(old < 0, F.lit(0).cast("long")).otherwise(weight[acc["counts"][old]] - weight[acc["counts"][old] - 1])
-        before = acc["counts"][new] - F.when(old == new, 1).otherwise(0)
+
+        def count(code):
+            held = acc[longs[0]]
+            for i, c in enumerate(longs[1:], 1):
+                held = F.when(part(code) == i, acc[c]).otherwise(held)
+            return F.call_function("shiftright", held, place(code)).bitwiseAND(F.lit((1 << BITS) - 1).cast("long")).cast("int")
+
+        one = lambda code: F.call_function("shiftleft", F.lit(1).cast("long"), place(code))
+        was = count(F.greatest(old, F.lit(0)))
+        gone = F.when(old < 0, none).otherwise(weight[was] - weight[F.greatest(was - 1, F.lit(0))])
+        before = count(new) - F.when(old == new, 1).otherwise(0)
         total = acc["sum"] - gone + weight[before + 1] - weight[before]
-        counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == new, 1).otherwise(0) - F.when(k == old, 1).otherwise(0))
+        counts = [acc[c] + F.when(part(new) == i, one(new)).otherwise(none) - F.when((old >= 0) & (part(old) == i), one(old)).otherwise(none) for i, c in enumerate(longs)]
         high = (x["i"] >= WINDOW - 1) & (total <= most)
         return F.struct(
-            counts.alias("counts"), total.alias("sum"),
+            *[v.alias(c) for c, v in zip(longs, counts)], total.alias("sum"),
             F.when(high & (acc["first"] < 0), x["i"] - WINDOW + 1).otherwise(acc["first"]).alias("first"),
             F.when(high, x["i"] + 1).otherwise(acc["last"]).alias("last"),
         )
@@ -126,24 +148,19 @@ def _left_over(x, base: Column) -> Column:
     return F.transform(found(rest, CANDIDATE), shift)
 
 
-def find_secrets(docs: DataFrame, text: str = "text", inside: bool = False) -> DataFrame:
-    """The columns of ``docs`` with ``_base`` and ``_spans`` added: arrays of (start, rank, end, kind) by start, then kind.
+def find_secrets(docs: DataFrame, text: str = "text", base_name: str = "_base", spans_name: str = "_spans") -> DataFrame:
+    """The columns of ``docs`` with two added: base spans and all spans, arrays of (start, rank, end, kind) by start, then kind.
 
-    Code points, the end is exclusive. A null or empty text has none. A run that overlaps a base span, or holds a sample, is not looked
-    at any further; with ``inside``, only its base spans and samples are left out, and the rest of it is looked at in full. Rows that
-    are alike all stay; an empty table gives no rows.
+    Code points, the end is exclusive. A null or empty text has none. Of a run of key characters, base spans and samples are
+    left out, and the rest of it is looked at in full. Rows that are alike all stay; an empty table gives no rows. Columns of
+    ``docs`` may have any other names.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    places = docs.withColumns({"_assign": found(whole, ASSIGN), "_access": found(whole, ACCESS), "_hex": found(whole, HEX), "_runs": found(whole, CANDIDATE)})
-    long_enough = F.filter("_assign", lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= ASSIGN_LEAST)
-    base = F.array_sort(F.concat(_spans(long_enough, "assign"), _spans(F.col("_access"), "access"), _spans(F.col("_hex"), "hex")))
-    based = places.withColumn("_base", base)
-
-    def suspect(x):
-        keep = ~F.exists(F.col("_base"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-        for pattern in ALLOWED:
-            keep = keep & ~x["s"].rlike(pattern)
-        return keep
+    held = free_name("_found", [*docs.columns, base_name, spans_name])
+    of = lambda name: F.col(held)[name]
+    places = docs.withColumn(held, F.struct(*[found(whole, p).alias(n) for n, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("runs", CANDIDATE))]))
+    long_enough = F.filter(of("assign"), lambda x: F.length(F.regexp_extract(x["s"], ASSIGN, 2)) >= ASSIGN_LEAST)
+    based = places.withColumn(base_name, F.array_sort(F.concat(_spans(long_enough, "assign"), _spans(of("access"), "access"), _spans(of("hex"), "hex"))))
 
     def unlike_words(x):
         keep = F.lit(True)
@@ -152,14 +169,10 @@ def find_secrets(docs: DataFrame, text: str = "text", inside: bool = False) -> D
                 keep = keep & ~x["s"].rlike(pattern)
         return keep
 
-    if inside:
-        parts = F.flatten(F.transform(F.filter("_runs", unlike_words), lambda x: _left_over(x, F.col("_base"))))
-        based = based.withColumn("_parts", F.filter(parts, unlike_words))
-        more = _entropy_spans(F.col("_parts"))
-    else:
-        more = _entropy_spans(F.filter("_runs", suspect))
-    spans = F.when(F.size("_runs") > 0, F.array_sort(F.concat("_base", more))).otherwise(F.col("_base"))
-    return based.withColumn("_spans", spans).drop("_assign", "_access", "_hex", "_runs", "_parts")
+    parts = F.flatten(F.transform(F.filter(of("runs"), unlike_words), lambda x: _left_over(x, F.col(base_name))))
+    more = _entropy_spans(F.filter(parts, unlike_words))
+    spans = F.when(F.size(of("runs")) > 0, F.array_sort(F.concat(base_name, more))).otherwise(F.col(base_name))
+    return based.withColumn(spans_name, spans).drop(held)
 
 
 def written(spans: Column) -> Column:
@@ -173,14 +186,14 @@ def digests(docs: DataFrame) -> DataFrame:
     return got.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.col("_spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, mask: str = "[secret]", inside: bool = False) -> DataFrame:
-    """The same rows and columns; each secret in ``text`` gives way to ``mask``, and ``n_chars`` of such a row is counted anew.
+def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
+    """The same rows and columns, whatever their names; each secret in ``text`` gives way to ``mask``, and ``n_chars`` of such a row is counted anew.
 
     A text without secrets, null included, stays as it is. Spans that overlap give way to one mask.
-    ``inside``: as in ``find_secrets``.
     """
     names = docs.columns
-    got = find_secrets(docs, inside=inside)
+    base, spans = free_name("_base", names), free_name("_spans", names)
+    got = find_secrets(docs, base_name=base, spans_name=spans)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, x):
@@ -189,8 +202,8 @@ def redact(docs: DataFrame, mask: str = "[secret]", inside: bool = False) -> Dat
             F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
         )
 
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    put = got.withColumn("text", F.when(F.size("_spans") > 0, clean).otherwise(F.col("text")))
+    clean = F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    put = got.withColumn("text", F.when(F.size(spans) > 0, clean).otherwise(F.col("text")))
     if "n_chars" in names:
-        put = put.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        put = put.withColumn("n_chars", F.when(F.size(spans) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return put.select(*names)
