@@ -203,7 +203,8 @@ def staged(spark, tmp_path_factory):
     rng = np.random.default_rng(3)
     hide = lambda r, code: r[1] + f' A token = "{code}" was on the door.'
     rows += [(1100 + i, hide(r, "".join(rng.choice(list("0123456789abcdef"), 40))), "en", "s", 1, 1) for i, r in enumerate(rows[:60])]
-    secret = hide(rows[70], "ce0cc631f6559e745b37cb8be6fc63ae2d235c5f")
+    # a text of its own: the words of another one backwards
+    secret = hide((0, " ".join(reversed(rows[70][1].split()))), "ce0cc631f6559e745b37cb8be6fc63ae2d235c5f")
     rows += [(1000, rows[0][1], "en", "s", 1, 1), (1001, rows[1][1], "en", "s", 1, 1), (1002, secret, "en", "s", len(secret), 1), (1002, secret, "en", "s", len(secret), 1)]
     folder = str(tmp_path_factory.mktemp("pipeline"))
     docs = spark.createDataFrame([r[:5] for r in rows] + [(None, rows[2][1], None, None, None)] * 2 + [(2000, None, None, None, None)], DOCS)
@@ -230,13 +231,14 @@ def test_stages_against_plain_versions(spark, staged):
     assert {r["doc_id"] for r in keep if r["doc_id"] is not None and r["doc_id"] < 180} == set(range(90))
 
     found = good.collect()
-    from tests.llm.test_near import plain_components, plain_fingerprint
-
-    named = [r for r in found if r["doc_id"] is not None]
-    label = plain_components(np.array([plain_fingerprint(r["text"]) for r in named], np.uint64))
-    least = {c: min(r["doc_id"] for r, k in zip(named, label) if k == c) for c in set(label)}
-    want = list({tuple(r) for r, c in zip(named, label) if r["doc_id"] == least[c]}) + [tuple(r) for r in found if r["doc_id"] is None]
-    assert rows_of(single) == sorted(want, key=cases.key)
+    from tests.llm.test_nearcopies import plain_groups
+
+    label = plain_groups([r["text"] or "" for r in found])
+    best = {}
+    for r, k in zip(found, label):
+        order = (r["doc_id"] is None, r["doc_id"] or 0, hashlib.md5((r["text"] or "").encode()).hexdigest())
+        best[k] = min(best.get(k, (order, None)), (order, tuple(r)), key=lambda x: x[0]) if best.get(k, (order, None))[1] else (order, tuple(r))
+    assert rows_of(single) == sorted((row for _, row in best.values()), key=cases.key)
     assert {1000, 1001}.isdisjoint(r["doc_id"] for r in single.collect()) and single.where("doc_id = 1002").count() == 1
 
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
