@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.operators.ordered import count_below, neighbour, number_rows, range_splits, running
+from tallyloom.operators.ordered import RANGE, add_range, count_below, number_rows, range_splits, running
 from tallyloom.session import cut_lineage
 
 
@@ -44,51 +46,101 @@ def merge_intervals(bookings: DataFrame) -> DataFrame:
         F.min("s").alias("s"), F.max("e").alias("e"), F.count(F.lit(1)).alias("n"))
 
 
+#: Before the first span and behind the last one all time is free
+NEVER = 1 << 60
+PARTS = 4
+
+
 def next_free(spans: DataFrame, asked: DataFrame) -> DataFrame:
     """Earliest start >= t of a free slot of length d, for queries (resource, q_id, t, d) over merged spans.
 
-    A gap that already runs at t is looked up directly. For later gaps, a length that suffices is a
-    union of few power-of-two ranges; gaps and queries meet on those ranges, and the first gap after
-    t is found by order. Cost grows with gaps plus queries, not with their product.
+    Time is cut into ranges of about equal height, so a busy resource is many cells (resource, range) of bounded size. A cell knows
+    its gaps, the gap that runs into it and its longest gap. A query looks into the cell of its t, where a tree of longest gaps leads it
+    to the first one that is long enough; if there is none, the longest gaps of the later cells name the one cell to look into.
     """
-    # the spans are read several times below; the ranges come from the questions, which are no derived rows
-    spans = cut_lineage(spans.select("resource", "span", "s", "e"))
     splits = range_splits(asked, "t")
-    backwards = [-x for x in reversed(splits)]
-    after = neighbour(spans, ["resource"], ["s", "span"], {"until": "s"}, ahead=True, splits=splits)
-    gaps = after.select("resource", F.col("e").alias("g"), "until", (F.col("until") - F.col("e")).alias("len"))
-    edge = spans.groupBy("resource").agg(F.min("s").alias("first_s"), F.max("e").alias("last_e"))
-
-    def lookup(points: DataFrame, probes: DataFrame, keys: list[str], latest: bool) -> DataFrame:
-        """The nearest gap at or before t (latest), or at or after it."""
-        sign = 1 if latest else -1
-        p = points.select(*keys, (sign * F.col("g")).alias("_at"), F.lit(0).alias("_side"), F.struct("g", "until").alias("_gap"),
-                          *[F.lit(None).cast("long").alias(c) for c in ("q_id", "t", "d")])
-        q = probes.select(*keys, (sign * F.col("t")).alias("_at"), F.lit(1).alias("_side"),
-                          F.lit(None).cast("struct<g:bigint,until:bigint>").alias("_gap"), "q_id", "t", "d")
-        both = p.unionByName(q)
-        found = running(both, keys, ["_at", "_side", "q_id"], {"hit": ("last", F.col("_gap"))}, splits=splits if latest else backwards)
-        return found.filter(F.col("_side") == 1)
-
-    here = lookup(gaps, asked, ["resource"], latest=True).join(edge, "resource", "left")
-    now = (
-        F.col("first_s").isNull() | (F.col("t") + F.col("d") <= F.col("first_s")) | (F.col("t") >= F.col("last_e"))
-        | (F.col("hit.until") - F.col("t") >= F.col("d")))
-    direct = here.select("resource", "q_id", "t", "d", F.when(now, F.col("t")).alias("now"), "last_e")
-
-    longest = gaps.agg(F.max("len")).first()[0] or 1
-    bits = int(longest).bit_length()
-    level = F.explode(F.sequence(F.lit(0), F.lit(bits)))
-    cells = gaps.filter("len > 0").select("resource", "g", "until", "len", level.alias("level")).withColumn("cell", F.expr("shiftright(len, level)"))
-    # lengths >= d: the cell of d itself at level 0, and at each level the right sibling of every left cell above it
-    open_q = direct.filter("now IS NULL")
-    want = open_q.select("resource", "q_id", "t", "d", level.alias("level")).withColumn("_c", F.expr("shiftright(d, level)"))
-    sibling = want.filter("_c % 2 = 0").withColumn("cell", F.col("_c") + 1)
-    exact = want.filter("level = 0").withColumn("cell", F.col("_c"))
-    pieces = sibling.unionByName(exact).drop("_c")
-    later = lookup(cells.select("resource", "level", "cell", "g", "until"), pieces, ["resource", "level", "cell"], latest=False)
-    best = later.groupBy("q_id").agg(F.min("hit.g").alias("later"))
-    return direct.join(best, "q_id", "left").select("resource", "q_id", F.coalesce("now", "later", F.greatest("t", "last_e")).alias("free_at"))
+    keys = ["resource", RANGE]
+    # spans are apart, so their starts and their ends are in the same order
+    cells = add_range(spans.select("resource", "s", "e"), "s", splits).groupBy(*keys).agg(F.array_sort(F.collect_list("s")).alias("s"), F.array_sort(F.collect_list("e")).alias("e"))
+    probes = add_range(asked.select("resource", "q_id", "t", "d"), "t", splits)
+    # one row per cell that has spans or queries
+    grid = cut_lineage(cells.join(probes.select(*keys).distinct(), keys, "full_outer"))
+    over = Window.partitionBy("resource").orderBy(RANGE)
+    # the summary of a cell without its spans: a row per resource and range
+    edges = grid.select(*keys, F.get("s", F.lit(0)).alias("_first"), F.get("e", F.size("e") - 1).alias("_last")).select(
+        *keys, F.coalesce(F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-NEVER)).alias("before"),
+        F.coalesce(F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)), F.lit(NEVER)).alias("after"))
+    inner = F.transform("e", lambda e, i: F.coalesce(F.get("s", i + 1), F.col("after")) - e)
+    whole = cut_lineage(grid.join(edges, keys).withColumn("longest", F.array_max(inner)))
+    # cells of one range meet their queries in a few groups, so that many small cells cost little
+    part = F.pmod(F.xxhash64("resource"), F.lit(PARTS)).cast("int").alias("part")
+
+    def look(questions: DataFrame) -> DataFrame:
+        held = whole.select(part, *keys, "s", "e", "before", "after").groupBy(RANGE, "part")
+        return questions.select("*", part).groupBy(RANGE, "part").cogroup(held).applyInPandas(_first_gaps, f"resource long, {RANGE} int, q_id long, t long, d long, free_at long")
+
+    found = cut_lineage(look(probes))
+    done = found.where("free_at IS NOT NULL")
+    # per resource the longest gap of each range: as many entries as there are ranges
+    reach = whole.where("longest IS NOT NULL").groupBy("resource").agg(F.array_sort(F.collect_list(F.struct(F.col(RANGE).alias("r"), F.col("longest").alias("n")))).alias("reach"))
+    target = F.filter("reach", lambda x: (x["r"] > F.col(RANGE)) & (x["n"] >= F.col("d")))[0]["r"]
+    later = found.where("free_at IS NULL").join(reach, "resource").select("resource", "q_id", F.lit(-NEVER).alias("t"), "d", target.alias(RANGE))
+    return done.unionByName(look(later)).select("resource", "q_id", "free_at")
+
+
+def _first_gaps(asked: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    """For the queries of some cells the first free time there, null if there is none; t of -NEVER asks for gaps that begin in the cell."""
+    made = asked[["resource", RANGE, "q_id", "t", "d"]].assign(free_at=pd.array([pd.NA] * len(asked), dtype="Int64"))
+    if not len(asked):
+        return made
+    rows = {r.resource: r for r in cells.itertuples(index=False)}
+    answer = np.full(len(asked), NEVER, np.int64)
+    everyone = asked["resource"].to_numpy()
+    order = np.argsort(everyone, kind="stable")
+    cuts = np.flatnonzero(np.diff(everyone[order])) + 1
+    t_all, d_all = asked["t"].to_numpy(np.int64), asked["d"].to_numpy(np.int64)
+    for mine in np.split(order, cuts):
+        r = rows[everyone[mine[0]]]
+        starts, ends = (np.asarray([] if v is None else v, np.int64) for v in (r.s, r.e))
+        begin, until = np.r_[np.int64(r.before), ends], np.r_[starts, np.int64(r.after)]
+        t, d = t_all[mine], d_all[mine]
+        # the gap that runs at t, or the one behind the span that does
+        at = np.maximum(np.searchsorted(begin, t, "right") - 1, 0)
+        fits = (t > -NEVER) & (until[at] - np.maximum(t, begin[at]) >= d)
+        place = at
+        if not fits.all():
+            place = np.where(fits, at, first_at_least(until - begin, at + 1, d))
+        answer[mine] = np.where(place < len(begin), np.maximum(t, begin[np.minimum(place, len(begin) - 1)]), NEVER)
+    made["free_at"] = pd.array(answer, dtype="Int64")
+    made.loc[answer == NEVER, "free_at"] = pd.NA
+    return made
+
+
+def first_at_least(values: np.ndarray, start: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each query the first index from ``start`` on whose value is ``least`` or more, by a tree of greatest values; their number if there is none."""
+    n = len(values)
+    size = 1 << max(0, int(n - 1).bit_length())
+    tree = np.full(2 * size, -(1 << 62), np.int64)
+    tree[size : size + n] = values
+    for level in range(size.bit_length() - 2, -1, -1):
+        nodes = np.arange(1 << level, 2 << level)
+        tree[nodes] = np.maximum(tree[2 * nodes], tree[2 * nodes + 1])
+    node, open_ones = np.minimum(start, size - 1) + size, start < n
+    # up to the first node to the right that holds enough
+    up = open_ones.copy()
+    while up.any():
+        good = tree[node] >= least
+        up &= ~good
+        right_edge = (node & (node + 1)) == 0
+        open_ones &= ~(up & right_edge)
+        up &= ~right_edge
+        node = np.where(up, np.where(node % 2 == 1, (node + 1) // 2, node + 1), node)
+    down = open_ones & (node < size)
+    while down.any():
+        left = 2 * node
+        node = np.where(down, np.where(tree[np.minimum(left, 2 * size - 1)] >= least, left, left + 1), node)
+        down = open_ones & (node < size)
+    return np.where(open_ones, node - size, n)
 
 
 def range_counts(events: DataFrame, asked: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -315,3 +315,31 @@ def nested(queries: DataFrame, full: DataFrame) -> DataFrame:
 def rated_good(queries: DataFrame, feedback: DataFrame) -> DataFrame:
     good = latest_feedback(feedback).filter("verdict = 'good'").select(F.col("query_id").alias("q_id"))
     return queries.join(good, "q_id", "left_semi")
+
+
+def export_records(queries: DataFrame, sessions: DataFrame, retrieved: DataFrame, feedback: DataFrame) -> DataFrame:
+    """One nested record per logged query: (id, ts, text, source, session_id, session_seq, label, verdict, note, chunks).
+
+    ``queries`` are rows of the log, ``sessions`` their numbers, ``retrieved`` the chunks found for them (q_id, place, chunk_id, chunk_text). A
+    query without a session has no number, one without feedback no verdict, one without hits an empty list.
+    """
+    named = label_queries(queries, sessions).withColumnRenamed("seq", "session_seq")
+    rated = named.join(latest_feedback(feedback), named["id"] == F.col("query_id"), "left").drop("query_id")
+    lists = retrieved.groupBy(F.col("q_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "chunk_text"))).alias("chunks"))
+    none = F.array().cast("array<struct<place:long,chunk_id:long,chunk_text:string>>")
+    return rated.join(lists, "id", "left").select(
+        "id", "ts", "text", "source", "session_id", "session_seq", "label", "verdict", "note", F.coalesce("chunks", none).alias("chunks"))
+
+
+RECORD = ("id long, ts long, text string, source string, session_id string, session_seq long, label string, verdict string, note string, "
+          "chunks array<struct<place:long,chunk_id:long,chunk_text:string>>")
+
+
+def write_records(records: DataFrame, folder: str, batch: int = 0) -> None:
+    """JSON lines, one record each with its nulls spelt out; a batch is a folder of its own, replaced as a whole when it is written again."""
+    lines = records.select(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("value"))
+    lines.write.mode("overwrite").text(f"{folder}/batch={batch:08d}")
+
+
+def read_records(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(RECORD).json(f"{folder}/batch=*")

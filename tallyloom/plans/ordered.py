@@ -167,6 +167,12 @@ def _(t: Tables):
     return U.explode_questions(U.parse_tutor_reply(t.view("tutor_replies"), "raw"))
 
 
+# the same rows by a table function and a lateral join
+@query("explode_questions_lateral", f"WITH {REPLIES} SELECT * FROM asked")
+def _(t: Tables):
+    return U.reply_questions(t.view("tutor_replies"), "raw")
+
+
 @query("answer_options", f"""WITH {REPLIES}
 SELECT conv_id, turn, nth, unnest(['high_quality', 'medium_quality', 'low_quality']) AS quality,
        unnest([answer, 'Partial: ' || substr(answer, 1, length(answer) // 2) || '...', 'Maybe ' || regexp_extract(question, '\\S+') || '?']) AS text FROM asked""")

@@ -287,6 +287,22 @@ def _(t: Tables):
     return rows.select("q_id", "q_text", F.array_join(F.col("chunks.chunk_text"), "|").alias("context"))
 
 
+# written as JSON lines and read back; the log's queries with these ids stand for the asked ones
+@query("export_jsonl", f"WITH {CHUNKS}, {hybrid_sql('chunks', 5)}, {SESSIONS}, {LATEST}, " + """
+lists AS (SELECT q_id, count(*) AS n, string_agg(chunk_id, ',' ORDER BY place) AS ids, md5(string_agg(chunk_text, '|' ORDER BY place)) AS texts FROM fused JOIN chunks USING (chunk_id) GROUP BY q_id)
+SELECT l.id, l.ts, l.source, l.session_id, l.seq AS session_seq, l.label, verdict, note, coalesce(n, 0) AS n_chunks, coalesce(ids, '') AS chunk_ids, coalesce(texts, md5('')) AS texts_md5
+FROM labels2 l LEFT JOIN latest ON l.id = query_id LEFT JOIN lists ON q_id = l.id WHERE l.id IN (SELECT q_id FROM @search_queries)""")
+def _(t: Tables):
+    log, q, index = t.view("rag_queries"), t.view("search_queries"), _index(t)
+    found = index.with_texts(index.hybrid(q, 5))
+    asked = log.join(q.select(F.col("q_id").alias("id")), "id", "left_semi")
+    folder = scratch_dir(t.spark, "export")
+    R.write_records(R.export_records(asked, R.number_sessions(log), found, t.view("rag_feedback")), folder)
+    back = R.read_records(t.spark, folder)
+    return back.select("id", "ts", "source", "session_id", "session_seq", "label", "verdict", "note", F.size("chunks").cast("long").alias("n_chunks"),
+                       F.array_join(F.col("chunks.chunk_id").cast("array<string>"), ",").alias("chunk_ids"), F.md5(F.array_join("chunks.chunk_text", "|").cast("binary")).alias("texts_md5"))
+
+
 # ---- an index of files, walked twice
 
 

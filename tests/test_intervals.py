@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tallyloom.operators import folds as D
 from tallyloom.operators import intervals as I
 
@@ -81,6 +83,14 @@ def test_next_free(spark):
     assert [got[i] for i in range(1000, 1005)] == [20, 40, 20, 25, 0]
 
 
+def test_tree_of_longest_gaps():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 7, 8, 9, 100):
+        values, start, least = rng.integers(0, 50, n), rng.integers(0, n + 1, 300), rng.integers(0, 60, 300)
+        plain = [next((i for i in range(a, n) if values[i] >= x), n) for a, x in zip(start, least)]
+        assert I.first_at_least(values, start, least).tolist() == plain
+
+
 def test_range_counts_half_open(spark):
     rng = random.Random(7)
     events = [rng.randint(0, 100) for _ in range(500)] + [50] * 300
