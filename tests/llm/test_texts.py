@@ -236,7 +236,7 @@ def test_stages_against_plain_versions(spark, staged):
     label = plain_groups([r["text"] or "" for r in found])
     best = {}
     for r, k in zip(found, label):
-        order = (r["doc_id"] is None, r["doc_id"] or 0, hashlib.md5((r["text"] or "").encode()).hexdigest())
+        order = (r["doc_id"] is None, r["doc_id"] or 0, hashlib.md5((r["text"] or "").encode()).digest())
         best[k] = min(best.get(k, (order, None)), (order, tuple(r)), key=lambda x: x[0]) if best.get(k, (order, None))[1] else (order, tuple(r))
     assert rows_of(single) == sorted((row for _, row in best.values()), key=cases.key)
     assert {1000, 1001}.isdisjoint(r["doc_id"] for r in single.collect()) and single.where("doc_id = 1002").count() == 1
