@@ -95,13 +95,18 @@ class Counter:
         return self._chunks([text.encode()])[0]
 
     def chunk_prefixes(self, chunk: bytes) -> list[int]:
-        """Tokens at each code point from 1 on. Chunks beyond Latin letters, or with marks to compose, count each prefix anew."""
+        """Tokens at each code point from 1 on, of any script: a prefix of a composed text is composed, and its split is that of the whole but for its end.
+
+        Only chunks with marks to compose, special tokens, or letters whose small form depends on others count each prefix anew.
+        """
         text = chunk.decode()
-        simple = max(text) <= LATIN and "<|" not in text and unicodedata.normalize("NFC", text) == text and len(text.lower()) == len(text)
+        small = [c.lower() for c in text]
+        lower = "".join(small)
+        rules = self.words.rules.normalizer
+        simple = unicodedata.is_normalized("NFC", text) and not self.words._cut.search(text) and (max(text) <= LATIN or rules.normalize_str(text) == lower)
         if not simple:
             return [self.chunk(text[:to]) for to in range(1, len(text) + 1)]
         out, before, at = [], 0, 0
-        lower = text.lower()
         for atoms in self.words.pretokens([chunk])[0]:
             plain = reopened(atoms).encode("latin-1").decode()
             begin = lower.index(plain, at)
@@ -112,7 +117,10 @@ class Counter:
                 steps = self.word_prefixes(atoms)
                 out += [before + steps[to - 1] for to in np.cumsum([len(c.encode()) for c in plain])]
             before, at = out[-1], begin + len(plain)
-        return out + [before] * (len(text) - at)
+        out += [before] * (len(lower) - at)
+        if len(lower) == len(text):
+            return out
+        return [out[to - 1] for to in np.cumsum(list(map(len, small)))]
 
     def counts(self, raw: bytes) -> np.ndarray:
         """Tokens at the end of each chunk."""

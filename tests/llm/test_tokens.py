@@ -43,6 +43,22 @@ def test_every_prefix_is_counted(text):
         assert table.kept(text.encode(), table.counts(text.encode()), limit) == max(i for i, c in enumerate(want) if c <= limit)
 
 
+def test_prefixes_of_texts_without_blanks_end_in_time():
+    import time
+
+    rng = np.random.default_rng(4)
+    table = prefix_counts.counter(public_path())
+    han = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 1500)) + "\u3002" + "\u0441\u043b\u043e\u0432\u043e" * 40 + "\u0130\u03a3\uac00\u3042\u30ab" * 20
+    want = [0, *(len(library(han[:to])) for to in range(1, len(han) + 1))]
+    assert table.prefixes(han.encode()).tolist() == want
+    assert table.kept(han.encode(), table.counts(han.encode()), 700) == max(i for i, c in enumerate(want) if c <= 700)
+    long = "".join(chr(c) for c in rng.integers(0x4E00, 0x9FA5, 300_000)).encode()
+    started = time.time()
+    counts = table.counts(long)
+    kept = table.kept(long, counts, 2048)
+    assert len(library(long.decode()[:kept])) <= 2048 < len(library(long.decode()[: kept + 1])) and time.time() - started < 30
+
+
 def test_compatibility_is_what_merging_gives():
     words = vocabulary(public_path())
     rng = np.random.default_rng(3)
