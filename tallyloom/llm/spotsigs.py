@@ -42,7 +42,7 @@ def _word_codes(words: list[bytes]) -> list[int]:
     return out
 
 
-_MEMO = Memo(_word_codes)
+_MEMO = Memo(_word_codes, 200_000)
 
 
 def _mixed(*parts: np.ndarray) -> np.ndarray:
