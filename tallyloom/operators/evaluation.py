@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions.answers import after_hashes, extract_answer, safe_float, same_known_number, same_number
 from tallyloom.functions.rewards import SOFT, strip
 from tallyloom.operators.ordered import running
+from tallyloom.session import cut_lineage
 
 
 def share(condition: Column) -> Column:
@@ -50,8 +51,9 @@ def group_advantage(df: DataFrame, group: str, reward: str, eps: float = 1e-4) -
     """(reward - mean) / (std + eps) inside each prompt's generations.
 
     Group statistics are aggregated with map-side combine and joined back, so that a prompt with very
-    many generations is not gathered in one task.
+    many generations is not gathered in one task. The rewards are computed once and written.
     """
+    df = cut_lineage(df)
     stats = df.groupBy(group).agg(
         F.avg(reward).alias("_mean"),
         F.coalesce(F.stddev_samp(reward), F.lit(0.0)).alias("_std"),
@@ -65,14 +67,15 @@ def group_advantage(df: DataFrame, group: str, reward: str, eps: float = 1e-4) -
 
 
 def informative_groups(df: DataFrame, group: str, reward: str) -> DataFrame:
-    """Rows of the groups whose rewards differ."""
+    """Rows of the groups whose rewards differ; the rewards are computed once and written."""
+    df = cut_lineage(df)
     kept = df.groupBy(group).agg(F.min(reward).alias("_low"), F.max(reward).alias("_high"))
     return df.join(kept.filter("_low <> _high").select(group), group, "left_semi")
 
 
 def running_accuracy(df: DataFrame, order: str, right: str, by: list[str] | None = None) -> DataFrame:
-    """Correct and total after each row."""
-    out = running(df, by or [], [order], {
+    """Correct and total after each row. The rows are scored once and written: ranges, windows and summaries read them there."""
+    out = running(cut_lineage(df), by or [], [order], {
         "n_total": ("count", F.lit(1)),
         "n_correct": ("sum", F.col(right).cast("long")),
     })

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.operators.ordered import neighbour
+from tallyloom.session import cut_lineage
 
 INF = float("inf")
 
@@ -45,8 +46,8 @@ def tripwire(df: DataFrame, limit: float = 1.0) -> DataFrame:
 
 
 def growth_factor(df: DataFrame, splits: list[float] | None = None) -> DataFrame:
-    """Magnitude over the previous logged magnitude of the run. ``splits``: known ranges of steps, if any."""
-    seen = df.filter("b_max IS NOT NULL").select("run", "step", "b_max")
+    """Magnitude over the previous logged magnitude of the run. ``splits``: known ranges of steps, if any. Logs are parsed once."""
+    seen = cut_lineage(df.filter("b_max IS NOT NULL").select("run", "step", "b_max"))
     out = neighbour(seen, ["run"], ["step"], {"b_before": "b_max"}, splits=splits)
     return out.withColumn("factor", F.try_divide("b_max", "b_before"))
 

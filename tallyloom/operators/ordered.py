@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.session import spread
+from tallyloom.session import cut_lineage, spread
 
 RANGE = "_range"
 
@@ -44,15 +44,22 @@ def add_range(df: DataFrame, column: str, splits: Sequence[float]) -> DataFrame:
     """Attach the number of the range that ``column`` falls into."""
     widened = df.withColumn("_rangekey", F.col(column).cast("double"))
     cut = Bucketizer(splits=list(splits), inputCol="_rangekey", outputCol=RANGE, handleInvalid="keep")
-    return cut.transform(widened).drop("_rangekey").withColumn(RANGE, F.col(RANGE).cast("int"))
+    # nulls sort before all values
+    return cut.transform(widened).drop("_rangekey").withColumn(RANGE, F.when(F.col(column).isNull(), -1).otherwise(F.col(RANGE).cast("int")))
 
 
 def cut_ranges(df: DataFrame, order: Sequence[str], pieces: int | None = None) -> DataFrame:
     """Attach the range of each row in the order of the whole key.
 
     A value of ``order[0]`` that fills two ranges or more gets a range of its own, which is cut again by ``order[1]``, so that
-    one value in most rows does not put them all into one range.
+    one value in most rows does not put them all into one range. Text, times and the like are dealt by Spark's own range
+    partitioning on the whole key, and written, so that the ranges stay what they are.
     """
+    if dict(df.dtypes)[order[0]] not in NUMERIC:
+        held = cut_lineage(df)
+        pieces = pieces or max(spread(df.sparkSession), -(-held.count() // ROWS_PER_RANGE))
+        dealt = held.repartitionByRange(pieces, *[F.col(c).asc_nulls_first() for c in order])
+        return cut_lineage(dealt.withColumn(RANGE, F.spark_partition_id()))
     marks = _marks(df, order[0], pieces)
     heavy = {v: marks.count(v) for v in set(marks) if marks.count(v) > 1}
     if not heavy or len(order) < 2 or dict(df.dtypes)[order[1]] not in NUMERIC:
@@ -95,7 +102,7 @@ def running(
 ) -> DataFrame:
     """Add running values per key. ``measures``: name -> (sum | count | max | min | last, column).
 
-    ``order[0]`` must be numeric and ``order`` unique per key. ``last`` is the latest non-null value.
+    ``order`` must be unique per key; its first column may be of any type that sorts, nulls come first. ``last`` is the latest non-null value.
     ``inclusive=False`` leaves the current row out.
     """
     cut = cut_ranges(df, order) if splits is None else add_range(df, order[0], splits)

@@ -151,7 +151,7 @@ SELECT prompt_id, doc_id, reward, min(reward) OVER w <> max(reward) OVER w AS in
        round((reward - avg(reward) OVER w) / (coalesce(stddev_samp(reward) OVER w, 0) + 1e-4), 6) AS advantage
 FROM rewarded WINDOW w AS (PARTITION BY prompt_id)""")
 def _(t: Tables):
-    out = ev.group_advantage(_rewarded(t), "prompt_id", "reward")
+    out = ev.group_advantage(_rewarded(t).select("prompt_id", "doc_id", "reward"), "prompt_id", "reward")
     return out.select("prompt_id", "doc_id", "reward", "informative", F.round("advantage", 6).alias("advantage"))
 
 
@@ -159,7 +159,7 @@ def _(t: Tables):
 SELECT prompt_id, doc_id, reward FROM rewarded
 QUALIFY min(reward) OVER (PARTITION BY prompt_id) <> max(reward) OVER (PARTITION BY prompt_id)""")
 def _(t: Tables):
-    return ev.informative_groups(_rewarded(t), "prompt_id", "reward").select("prompt_id", "doc_id", "reward")
+    return ev.informative_groups(_rewarded(t).select("prompt_id", "doc_id", "reward"), "prompt_id", "reward")
 
 
 @query("eval_accuracy", SCORED + f"""

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyloom.operators import ordered as O
 from tallyloom.operators import splits as S
@@ -97,3 +98,23 @@ def test_a_value_in_most_rows_is_cut_by_the_next_column(spark):
     assert len(sizes) >= 15 and max(sizes) < 2 * len(rows) / len(sizes)
     got = {(r["v"], r["i"]): r["n"] for r in O.number_rows(df, [], ["v", "i"], "n").collect()}
     assert all(got[r] == n for n, r in enumerate(sorted(rows), 1))
+
+
+def test_text_times_and_nulls_as_order(spark):
+    rng = random.Random(11)
+    rows = [(i % 3, None if i == 7 else f"k{rng.randrange(40)}", i, float(i % 5)) for i in range(300)]
+    frame = spark.createDataFrame(rows, "g long, k string, i long, x double").withColumn("ts", F.timestamp_seconds(F.col("i") % 17)).withColumn("n", F.when(F.col("i") % 4 > 0, F.col("i") % 11))
+    for first in ("k", "ts", "n"):
+        plain = Window.partitionBy("g").orderBy(first, "i").rowsBetween(Window.unboundedPreceding, 0)
+        want = {r["i"]: r["s"] for r in frame.withColumn("s", F.sum("x").over(plain)).collect()}
+        assert {r["i"]: r["s"] for r in O.running(frame, ["g"], [first, "i"], {"s": ("sum", F.col("x"))}).collect()} == want
+
+
+def test_sources_are_scanned_once(spark, tmp_path):
+    from tallyloom.operators import evaluation, health
+
+    spark.range(50).selectExpr("id AS doc_id", "id % 3 = 0 AS right", "id % 4 AS g", "CAST(id % 7 AS double) AS reward").write.parquet(f"{tmp_path}/rows")
+    spark.range(50).selectExpr("id % 2 AS run", "id AS step", "CAST(id AS double) AS b_max").write.parquet(f"{tmp_path}/log")
+    rows, log = spark.read.parquet(f"{tmp_path}/rows"), spark.read.parquet(f"{tmp_path}/log")
+    for out in (evaluation.running_accuracy(rows, "doc_id", "right"), evaluation.group_advantage(rows, "g", "reward"), evaluation.informative_groups(rows, "g", "reward"), health.growth_factor(log)):
+        assert out.count() > 0 and "parquet" not in out._jdf.queryExecution().executedPlan().toString().lower()
