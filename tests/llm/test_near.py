@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -95,6 +96,40 @@ def test_beside_the_next_document(spark):
     assert len(one) == 1 and one[0]["near_next"] == 1
 
 
+def plain_signatures(text):
+    """Chains as words, place by place."""
+    words = [w.decode().lower().strip(spotsigs.MARKS) for w in text.encode().split()]
+    words = [w for w in words if w]
+    found = set()
+    for i, word in enumerate(words):
+        near = [w for w in words[max(0, i - spotsigs.GAP) : i] if w in spotsigs.ANCHORS]
+        after = [w for w in words[i + 1 :] if w not in spotsigs.ANCHORS][: spotsigs.CHAIN]
+        if (word in spotsigs.ANCHORS or not near) and len(after) == spotsigs.CHAIN:
+            found.add((word, *after))
+    if found or not words:
+        return found
+    n = spotsigs.CHAIN + 1
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def test_op2_equals_plain(spark, folder):
+    from tallyloom.llm.queries import QUERIES
+
+    rows = sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect())
+    got = {r["doc_id"]: r for r in QUERIES["op2_spotsigs"](spark, folder).collect()}
+    assert len(got) == len(rows)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    spelt = {}
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        own, changed, other = map(plain_signatures, (text, edited, after))
+        r = got[i]
+        assert r["near_edited"] == pytest.approx(alike(own, changed)) and r["near_next"] == pytest.approx(alike(own, other))
+        for sets, name in ((own, r["fingerprint"]), (changed, r["edited_fingerprint"])):
+            assert spelt.setdefault(name, sets) == sets
+    assert len(spelt) == len({frozenset(s) for s in spelt.values()})
+
+
 def test_similar_sets(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(300)]
