@@ -54,9 +54,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the checkpoint folder, for written intermediate tables."""
-    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}")
+    """A new folder below the checkpoint folder, for written intermediate tables. It stays until ``clear_scratch``."""
+    _SCRATCH.append(os.path.join(ensure_checkpoint_dir(spark), f"{name}-{os.urandom(6).hex()}"))
+    return _SCRATCH[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the folders that this program got from ``scratch_dir``; results that were not written elsewhere go with them.
+
+    Gives back how many there were. Checkpoints of ``cut_lineage`` are Spark's own; a cluster may set ``spark.cleaner.referenceTracking.cleanCheckpoints`` for them.
+    """
+    done = 0
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        done += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def spread(spark: SparkSession) -> int:
