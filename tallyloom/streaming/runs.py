@@ -216,19 +216,28 @@ def number_newcomers(folder: str, counters: str) -> BatchFn:
     return handle
 
 
+#: Orders of neighbouring numbers share a row of state, 2 to the power of this at most: a call for a key costs far more than the events of an order
+ORDER_BITS = 10
+
+
 def stream_order_states(events: DataFrame) -> DataFrame:
     """State of every order after the events so far (update mode): the batch fold, one trigger at a time."""
-    state_schema = "state string, paid long, refund long, history string, rejected long"
+    state_schema = "order_id array<long>, state array<string>, paid array<long>, refund array<long>, history array<string>, rejected array<long>"
+    names = ("state", "paid", "refund", "history", "rejected")
 
     def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        names = ("state", "paid", "refund", "history", "rejected")
-        now = dict(zip(names, state.get)) if state.exists else None
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-            now, _ = order_step(now, row.event, int(row.amount), int(row.total))
-        state.update(tuple(now[n] for n in names))
-        yield pd.DataFrame([(key[0], *[now[n] for n in names])], columns=["order_id", *names])
-
-    return events.groupBy("order_id").applyInPandasWithState(advance, ORDER_SCHEMA, state_schema, "update", GroupStateTimeout.NoTimeout)
+        known = {i: dict(zip(names, now)) for i, *now in zip(*state.get)} if state.exists else {}
+        rows, met = pd.concat(list(frames)).sort_values("seq"), {}
+        # events without an order's number share the row of state without one
+        ids = rows["order_id"].tolist() if key[0] is not None else [None] * len(rows)
+        for i, event, amount, total in zip(ids, *(rows[c].tolist() for c in ("event", "amount", "total"))):
+            met[i] = known[i] = order_step(known.get(i), event, int(amount), int(total))[0]
+        state.update((list(known), *([now[n] for now in known.values()] for n in names)))
+        yield pd.DataFrame([(i, *[now[n] for n in names]) for i, now in met.items()], columns=["order_id", *names])
+
+    near = F.shiftright(F.col("order_id").cast("long"), ORDER_BITS).alias("_near")
+    return events.select("order_id", "seq", "event", "amount", "total", near).groupBy("_near").applyInPandasWithState(
+        advance, ORDER_SCHEMA, state_schema, "update", GroupStateTimeout.NoTimeout)
 
 
 def stream_cache(events: DataFrame, capacity: int, ttl: int) -> DataFrame:

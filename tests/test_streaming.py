@@ -91,6 +91,21 @@ def test_orders_advance_over_triggers(spark, tmp_path):
     assert out.count() == 6
 
 
+def test_neighbouring_orders_share_a_row_of_state(spark, tmp_path):
+    schema = "order_id long, seq long, event string, amount long, total long"
+    ids = [None, *range(-40, 900)]
+    parts = [[(i, 1, "pay", 5, 5 + (i or 0) % 3) for i in ids], [(i, 2, "ship", 0, 5 + (i or 0) % 3) for i in ids[::2]] + [(5_000_000_000, 1, "cancel", 0, 9)]]
+    drop_files(spark, f"{tmp_path}/in", parts, schema)
+    query = S.start_batches(S.stream_order_states(stream(spark, f"{tmp_path}/in", schema, parts)), S.append_batches(f"{tmp_path}/rows"), f"{tmp_path}/ck", "update")
+    query.awaitTermination()
+    last = {}
+    for r in spark.read.parquet(f"{tmp_path}/rows").orderBy("batch").collect():
+        last[r["order_id"]] = tuple(r)[:6]
+    assert last == {r["order_id"]: tuple(r) for r in D.order_states(spark.createDataFrame([r for p in parts for r in p], schema)).collect()}
+    # one for null, one below zero, one from zero, one far away
+    assert sum(op["numRowsTotal"] for op in query.lastProgress["stateOperators"]) == 4
+
+
 def test_cache_over_triggers_equals_the_batch_fold(spark, tmp_path):
     schema = "tenant long, seq long, t long, op string, key string, val long"
     rows = [(i % 2, i, i, "put" if i % 3 else "get", f"k{i * 7 % 5}", i) for i in range(60)]
