@@ -170,8 +170,9 @@ WITH r AS (SELECT l_suppkey AS cfg, l_linenumber AS ord, 128 * l_linenumber AS l
 g AS (SELECT cfg, ord, len, secs * max(mem) OVER w / mem < max(secs) OVER w AS good FROM r WINDOW w AS (PARTITION BY cfg))
 SELECT cfg, arg_min(len, ord) FILTER (good) AS recommended FROM g GROUP BY cfg""")
 def _(t: Tables):
+    # cents are added exactly: a sum of doubles depends on its order, and half a unit then rounds either way
     results = t.lineitem.groupBy(F.col("l_suppkey").alias("cfg"), F.col("l_linenumber").alias("ord")).agg(
-        F.round(F.avg("l_quantity")).cast("long").alias("secs"), F.round(F.sum("l_extendedprice")).cast("long").alias("mem")
+        F.round(F.avg("l_quantity")).cast("long").alias("secs"), F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))).cast("long").alias("mem")
     ).withColumn("len", 128 * F.col("ord"))
     return C.recommend_length(results, ["cfg"])
 

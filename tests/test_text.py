@@ -4,6 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyloom.functions.text import pretokens, strip
 from tallyloom.operators import augment as A
 from tallyloom.operators import bpe as V
@@ -41,6 +42,14 @@ def test_recommend_length(spark):
     assert {r["cfg"]: r["recommended"] for r in C.recommend_length(df, ["cfg"]).collect()} == {"a": 256, "b": None}
 
 
+def test_memory_is_added_exactly(spark, tmp_path):
+    # 1.50 in cents, which a running sum of doubles takes for 1.4999999999999998
+    rows = [(1, 1, 1.0, p) for p in (0.35, 0.30, 0.18, 0.06, 0.12, 0.49)] + [(1, 2, 2.0, 2.0)]
+    schema = "l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [tuple(r) for r in entry.queries()["recommend_length"](spark, str(tmp_path)).collect()] == [(1, 128)]
+
+
 def test_word_positions(spark):
     text = "café, the café  the."
     row = spark.createDataFrame([(text,)], "t string").select(C.word_positions(F.col("t")).alias("w")).first()["w"]
