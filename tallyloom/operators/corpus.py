@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyloom.functions.text import n_words, pretokens, words
 
+#: Words of one text that are objects at a time
+WORDS_AT_ONCE = 1 << 16
+
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """Corpus histogram of pre-tokens. Counts combine on the map side, so a frequent word is no hot key."""
@@ -93,20 +97,28 @@ def check_lengths(df: DataFrame, max_prompt: int, max_seq: int, text: str = "tex
         F.count(F.lit(1)).alias("n"), F.count_if(n > max_prompt).alias("over_prompt"), F.count_if(n > max_seq).alias("over_seq"))
 
 
+def locate_words(texts: pa.Array) -> pa.Array:
+    """What ``word_positions`` finds in a batch; it goes into Arrow a slice of a text at a time, since an object per word would be fifty times the text."""
+    shape = re.compile(r"\w+|[^\w\s]")
+    kind = pa.struct([("word", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+    made, ends = [pa.array([], kind)], [0]
+    for text in texts:
+        found, n = shape.finditer(text.as_py() or ""), ends[-1]
+        while hits := list(islice(found, WORDS_AT_ONCE)):
+            columns = [pa.array([m.group() for m in hits], pa.string()), *(pa.array(map(at, hits), pa.int32()) for at in (re.Match.start, re.Match.end))]
+            made.append(pa.StructArray.from_arrays(columns, fields=list(kind)))
+            n += len(hits)
+        ends.append(n)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(made))
+
+
 def word_positions(text: Column) -> Column:
     """Words and punctuation with start and end offsets (from 0), found left to right.
 
     Spark's regex functions return the matches but not where they are; summing piece lengths with a
     lambda copies the growing array at each step. One linear Arrow pass per text is the fast way.
     """
-
-    @F.pandas_udf("array<struct<word:string,start:int,end:int>>")
-    def locate(texts: pd.Series) -> pd.Series:
-        shape = re.compile(r"\w+|[^\w\s]")
-        return texts.map(lambda s: [] if s is None else [
-            {"word": m.group(), "start": m.start(), "end": m.end()} for m in shape.finditer(s)])
-
-    return locate(text)
+    return F.arrow_udf(locate_words, "array<struct<word:string,start:int,end:int>>")(text)
 
 
 # "tags" is a fixed value; the other four wordings are our own, and more can be added

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -57,6 +58,21 @@ def test_word_positions(spark):
     assert all(text[r["start"] : r["end"]] == r["word"] for r in row)
 
 
+def test_word_positions_hold_few_objects(spark):
+    import tracemalloc
+
+    texts = ["ab, cd " * 100_000, None, "", "é ü"]
+    tracemalloc.start()
+    found = C.locate_words(pa.array(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 300,000 words; an object for each, with its two numbers, took over 100 MB
+    assert peak < 40e6 and [len(f) for f in found] == [300_000, 0, 0, 2]
+    assert found[3].as_py() == [{"word": "é", "start": 0, "end": 1}, {"word": "ü", "start": 2, "end": 3}]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(F.size(C.word_positions(F.col("t"))).alias("n")).collect()
+    assert [r["n"] for r in rows] == [300_000, 0, 0, 2]
+
+
 def learn_plainly(texts, size, specials):
     """One merge at a time."""
     counts = Counter(w for t in texts for w in re.findall(r"\w+|[^\w\s]+", t))
