@@ -10,21 +10,24 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import strip
 from tallyloom.operators.corpus import word_counts
-from tallyloom.session import cut_lineage, spread
+from tallyloom.session import scratch_dir, spread
 
 SPECIALS = ("[PAD]", "[UNK]", "[START]", "[END]")
 # pre-tokens hold no white space, so these two can frame a symbol
 OPEN, CLOSE = "\t", "\n"
 ROUNDS_PER_CHECKPOINT = 8
 LOOK_AHEAD = 256
-MEMO_WORDS = 200_000
+# what a task remembers: so many words, and so many letters of words
+MEMO_WORDS, MEMO_LETTERS = 200_000, 4_000_000
 PLAIN, LOSSLESS = r"\w+|[^\w\s]+", r" ?\w+| ?[^\w\s]+|\s"
 BYTES = tuple(f"<0x{b:02X}>" for b in range(256))
 
@@ -50,12 +53,32 @@ def _framed(symbol: str) -> str:
     return f"{OPEN}{symbol}{CLOSE}"
 
 
+def _pairs(syms: Column, n: Column) -> Column:
+    """The neighbouring symbols of a word, each pair with ``n``."""
+    parts = F.split(F.substring(syms, F.lit(2), F.length(syms) - 2), CLOSE + OPEN)
+    return F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts) - 1),
+                      lambda a, b: F.struct(a.alias("a"), b.alias("b"), n.alias("n")))
+
+
+def _summed(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def _pair_counts(vocab_words: DataFrame) -> DataFrame:
-    parts = F.split(F.expr("substring(syms, 2, length(syms) - 2)"), CLOSE + OPEN)
-    pairs = F.zip_with(F.slice("_p", F.lit(1), F.size("_p") - 1), F.slice("_p", F.lit(2), F.size("_p") - 1),
-                       lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    split = vocab_words.select("n", parts.alias("_p")).filter(F.size("_p") > 1)
-    return split.select("n", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+    return _summed(vocab_words.select(F.explode(_pairs(F.col("syms"), F.col("n"))).alias("p")).select("p.*"))
+
+
+def _moved_counts(touched: DataFrame, changed: Column) -> DataFrame:
+    """What merges take from the counts of pairs and add to them: only words that hold a merged pair play a part."""
+    both = F.concat(_pairs(F.col("syms"), -F.col("n")), _pairs(F.col("now"), F.col("n")))
+    return touched.withColumn("now", changed).select(F.explode(both).alias("p")).select("p.*").groupBy("a", "b").agg(F.sum("n").alias("n"))
+
+
+def _stored(rows: DataFrame, name: str) -> DataFrame:
+    """Written once and read again; a checkpoint would make its rows twice."""
+    to = scratch_dir(rows.sparkSession, f"bpe-{name}")
+    rows.write.parquet(to)
+    return rows.sparkSession.read.parquet(to)
 
 
 def independent_prefix(ranked: list[tuple[str, str, int]], known: set[str], complete: bool) -> list[tuple[str, str]]:
@@ -97,14 +120,14 @@ def piece_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def train_bpe(df: DataFrame, vocab_size: int, specials: tuple[str, ...] = SPECIALS, text: str = "text", lossless: bool = False) -> Vocabulary:
     """Learn merges on the table of distinct words.
 
-    The corpus is read once, for the word counts. Each round aggregates pair counts over the distinct
-    words and brings the few best pairs to the driver; several independent merges share a round.
-    Ties go to the pair that sorts first. The words table is checkpointed every few rounds.
+    The corpus is read once, for the word counts. Pairs are counted once over the distinct words; each round brings the
+    few best pairs to the driver and moves the counts of those words that hold one that is merged. Several independent
+    merges share a round. Ties go to the pair that sorts first. The words table is written every few rounds.
     """
     vocab = Vocabulary(lossless=lossless)
     spaces: list[str] = []
     if lossless:
-        counts = cut_lineage(piece_counts(df, text))
+        counts = _stored(piece_counts(df, text), "pieces")
         # white space that stands alone never merges: as many rows as there are such characters
         alone = F.col("word").rlike(r"(?U)\A\s\z")
         spaces = [r["word"] for r in counts.where(alone).select("word").collect()]
@@ -113,16 +136,17 @@ def train_bpe(df: DataFrame, vocab_size: int, specials: tuple[str, ...] = SPECIA
     else:
         counts = word_counts(df, text)
     framed = F.regexp_replace("word", "(?s)(.)", _framed("$1"))
-    vocab_words = cut_lineage(counts.select("n", framed.alias("syms")).repartition(spread(df.sparkSession)))
+    vocab_words = _stored(counts.select("n", framed.alias("syms")).repartition(spread(df.sparkSession)), "words")
     letters = vocab_words.select(F.explode(F.split(F.expr("substring(syms, 2, length(syms) - 2)"), CLOSE + OPEN)).alias("c")).distinct()
     # an alphabet: bounded by the characters that exist
     for token in [*specials, *sorted({*spaces, *(r["c"] for r in letters.collect())})]:
         vocab.add(token)
     rounds = 0
+    pairs = _stored(_pair_counts(vocab_words), "pairs") if len(vocab.tokens) < vocab_size else None
     while len(vocab.tokens) < vocab_size:
         room = vocab_size - len(vocab.tokens)
         limit = min(LOOK_AHEAD, room + 1)
-        best = _pair_counts(vocab_words).orderBy(F.desc("n"), "a", "b").limit(limit).collect()
+        best = pairs.orderBy(F.desc("n"), "a", "b").limit(limit).collect()
         ranked = [(r["a"], r["b"], r["n"]) for r in best]
         if not ranked:
             break
@@ -131,56 +155,80 @@ def train_bpe(df: DataFrame, vocab_size: int, specials: tuple[str, ...] = SPECIA
             vocab.merges.append((a, b))
             vocab.add(a + b)
             changed = F.replace(changed, F.lit(_framed(a) + _framed(b)), F.lit(_framed(a + b)))
+        if len(vocab.tokens) == vocab_size:
+            break
+        pairs = _stored(_summed(pairs.unionByName(_moved_counts(vocab_words.where(changed != F.col("syms")), changed))), "pairs")
         vocab_words = vocab_words.withColumn("syms", changed)
         rounds += 1
         if rounds % ROUNDS_PER_CHECKPOINT == 0:
-            vocab_words = cut_lineage(vocab_words)
+            vocab_words = _stored(vocab_words, "words")
     return vocab
 
 
+def merged(word: str, rank: dict[tuple[str, str], int]) -> list[str]:
+    """The parts of a word: of the pairs there the one that was learned first is merged, wherever it occurs, and so on.
+
+    Pairs wait in a heap, so that a long run of letters takes little more time a letter than a short one.
+    """
+    parts: list[str | None] = list(word)
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap = [(r, i) for i in range(len(parts) - 1) if (r := rank.get((parts[i], parts[i + 1]))) is not None]
+    heapify(heap)
+    while heap:
+        best, new = heap[0][0], set()
+        while heap and heap[0][0] == best:
+            i = heappop(heap)[1]
+            j = after[i]
+            if parts[i] is None or j == len(parts) or rank.get((parts[i], parts[j])) != best:
+                continue
+            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            new |= {before[i], i}
+        for i in new:
+            if i >= 0 and parts[i] is not None and after[i] < len(parts) and (r := rank.get((parts[i], parts[after[i]]))) is not None:
+                heappush(heap, (r, i))
+    return [p for p in parts if p is not None]
+
+
 def encode(text: Column, vocab: Vocabulary, unknown: str = "[UNK]") -> Column:
     """Text to token ids.
 
-    One Arrow pass without a shuffle: each task remembers the words it has encoded (up to MEMO_WORDS of them), so a
+    One Arrow pass without a shuffle: each task remembers the words it has encoded (up to MEMO_LETTERS of them), so a
     frequent word costs one lookup. Joining exploded words to a table of encodings would shuffle every token twice.
+    Ids are kept as four bytes each, not as objects.
     """
     tokens, rank, lossless = vocab.tokens, {pair: i for i, pair in enumerate(vocab.merges)}, vocab.lossless
     unk = tokens[unknown]
 
-    @F.pandas_udf("array<int>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shape = re.compile(LOSSLESS if lossless else PLAIN)
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
+        held = 0
 
-        def word_ids(word: str) -> list[int]:
+        def word_ids(word: str) -> bytes:
+            nonlocal held
             if word in known:
                 return known[word]
-            parts = list(word)
-            while len(parts) > 1:
-                at = min(range(len(parts) - 1), key=lambda i: rank.get((parts[i], parts[i + 1]), len(rank)))
-                pair = (parts[at], parts[at + 1])
-                if pair not in rank:
-                    break
-                merged, i = [], 0
-                while i < len(parts):
-                    if i + 1 < len(parts) and (parts[i], parts[i + 1]) == pair:
-                        merged.append(parts[i] + parts[i + 1])
-                        i += 2
-                    else:
-                        merged.append(parts[i])
-                        i += 1
-                parts = merged
-            if len(known) >= MEMO_WORDS:
+            parts = merged(word, rank)
+            if held + len(word) > MEMO_LETTERS or len(known) >= MEMO_WORDS:
                 known.clear()
+                held = 0
             if lossless:  # a letter that was never seen is its bytes
                 parts = [q for p in parts for q in ([p] if p in tokens else [BYTES[b] for b in p.encode()])]
-            known[word] = [tokens.get(p, unk) for p in parts]
+            known[word] = np.array([tokens.get(p, unk) for p in parts], np.int32).tobytes()
+            held += len(word)
             return known[word]
 
         for texts in batches:
-            yield texts.map(lambda s: None if s is None else [i for w in shape.findall(s) for i in word_ids(w)])
+            # a null text has null ids
+            made = [None if (s := t.as_py()) is None else b"".join(word_ids(m.group()) for m in shape.finditer(s)) for t in texts]
+            ends = np.cumsum([0, *(len(m or b"") // 4 for m in made)]).astype(np.int32)
+            ids = pa.array(np.frombuffer(b"".join(m for m in made if m), np.int32))
+            yield pa.ListArray.from_arrays(pa.array(ends), ids, mask=pa.array([m is None for m in made], pa.bool_()))
 
-    return run(text)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<int>")(text)
 
 
 def decode(ids: Column, vocab: Vocabulary, skip: tuple[str, ...] = SPECIALS) -> Column:
@@ -191,17 +239,20 @@ def decode(ids: Column, vocab: Vocabulary, skip: tuple[str, ...] = SPECIALS) ->
         byte = {t: bytes([b]) for b, t in enumerate(BYTES)}
         raw = {i: b"" if t in hidden else byte.get(t) or t.encode() for i, t in names.items()}
 
-        @F.pandas_udf("string")
-        def join(rows: pd.Series) -> pd.Series:
-            return rows.map(lambda row: None if row is None else b"".join(raw.get(int(i), b"") for i in row).decode("utf-8", "replace"))
+        def text_of(row: list[int]) -> str:
+            return b"".join([raw.get(i, b"") for i in row]).decode("utf-8", "replace")
+    else:
+        gone = {i for i, t in names.items() if t in hidden}
 
-        return join(ids)
+        def text_of(row: list[int]) -> str:
+            return " ".join([names.get(i, "") for i in row if i not in gone])
 
-    @F.pandas_udf("string")
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda row: None if row is None else " ".join(t for t in (names.get(int(i), "") for i in row) if t not in hidden))
+    def run(rows: pa.Array) -> pa.Array:
+        # the ids of one text are objects at a time
+        return pa.array((None if (row := r.as_py() if r.values is None else r.values.to_pylist()) is None else text_of(row) for r in rows), pa.string())
 
-    return run(ids)
+    run.__annotations__ = {"rows": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "string")(ids)
 
 
 def roundtrip_audit(df: DataFrame, vocabs: dict[str, Vocabulary], text: str = "text") -> DataFrame:

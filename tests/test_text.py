@@ -157,6 +157,41 @@ def test_encode_marks_unknown_letters(spark):
     assert df.select(V.encode(F.col("t"), vocab)).first()[0] == [4, 4, 1, 3]
 
 
+def test_merges_of_a_long_word():
+    import time
+
+    rng = random.Random(4)
+    merges = [("a", "b"), ("b", "c"), ("ab", "c"), ("c", "a"), ("ca", "ab"), ("a", "a"), ("aa", "a"), ("abc", "aa")]
+    rank = {pair: i for i, pair in enumerate(merges)}
+
+    def plainly(parts):
+        while found := [pair for pair in zip(parts, parts[1:]) if pair in rank]:
+            pair, out, i = min(found, key=rank.get), [], 0
+            while i < len(parts):
+                both = tuple(parts[i : i + 2]) == pair
+                out.append("".join(parts[i : i + 2]) if both else parts[i])
+                i += 2 if both else 1
+            parts = out
+        return parts
+
+    for _ in range(300):
+        word = "".join(rng.choice("abcd") for _ in range(rng.randint(0, 30)))
+        assert V.merged(word, rank) == plainly(list(word))
+    # 8,000 different merges in one word: looking through all pairs for each took a minute and more
+    letters = [chr(0x4E00 + i) for i in range(16_000)]
+    ranks = {(x, y): i for i, (x, y) in enumerate(zip(letters[::2], letters[1::2]))}
+    started = time.process_time()
+    assert len(V.merged("".join(letters), ranks)) == 8_000 and time.process_time() - started < 5
+
+
+def test_ids_take_four_bytes(spark):
+    vocab = V.Vocabulary({t: i for i, t in enumerate([*V.SPECIALS, *V.BYTES, " ", "\u4e00"])}, [], True)
+    texts = [None, "", "\u4e00 \u4e01", "\ufffd x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("ids", V.encode(F.col("t"), vocab))
+    got = rows.select("id", "ids", V.decode(F.col("ids"), vocab, skip=()).alias("back")).orderBy("id").collect()
+    assert [r["back"] for r in got] == texts and got[0]["ids"] is None and got[1]["ids"] == [] and got[2]["ids"] == [261, 260, *(4 + b for b in "\u4e01".encode())]
+
+
 def test_synonyms_keep_the_rest_of_the_text(spark):
     docs = spark.createDataFrame([(1, "The big  house, a BIG house-boat!"), (2, "nothing to do"), (3, "house " * 300)], "id long, text string")
     tags = spark.createDataFrame([("big", "JJ"), ("house", "NN"), ("BIG", "NNP"), ("boat", "NN"), ("to", "NN")], "word string, tag string")
