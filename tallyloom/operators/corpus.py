@@ -98,7 +98,7 @@ def check_lengths(df: DataFrame, max_prompt: int, max_seq: int, text: str = "tex
 
 
 def locate_words(texts: pa.Array) -> pa.Array:
-    """What ``word_positions`` finds in a batch; it goes into Arrow a slice of a text at a time, since an object per word would be fifty times the text."""
+    """What ``word_positions`` finds in a batch; it goes into Arrow a slice of a text at a time, since an object per word takes a hundred times the text."""
     shape = re.compile(r"\w+|[^\w\s]")
     kind = pa.struct([("word", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
     made, ends = [pa.array([], kind)], [0]
