@@ -11,6 +11,7 @@ from tallyloom.operators.classification import confusion_counts
 from tallyloom.operators.corpus import word_counts
 from tallyloom.plans.registry import query
 from tallyloom.plans.tables import Tables
+from tallyloom.session import scratch_dir
 
 VOCAB, SMALL_VOCAB = 180, 140
 
@@ -78,7 +79,10 @@ def _lexicon(t: Tables):
     """Tags and synonyms for the words of the corpus, by rule, standing in for a dictionary."""
     counts = word_counts(t.documents).filter("length(word) > 2 AND n > 1")
     tag = F.expr("CASE length(word) % 5 WHEN 0 THEN 'NN' WHEN 1 THEN 'JJ' WHEN 2 THEN 'NNP' WHEN 3 THEN 'VB' ELSE 'NNS' END")
-    tags = counts.select("word", tag.alias("tag"))
+    # read by several joins: the words are counted once, and their size is known
+    to = scratch_dir(t.spark, "tags")
+    counts.select("word", tag.alias("tag")).write.parquet(to)
+    tags = t.spark.read.parquet(to)
     options = F.array(F.concat("word", F.lit("ish")), F.reverse("word"), F.concat("word", F.lit("_like")), F.col("word"))
     lexicon = tags.select("word", A.part_of_speech(F.col("tag")).alias("pos"), F.explode(options).alias("synonym")).filter("pos IS NOT NULL AND word NOT LIKE 'a%'")
     return tags, lexicon

@@ -208,6 +208,19 @@ def test_synonyms_keep_the_rest_of_the_text(spark):
     assert stats == {1: 3.0, 2: 1.5, 3: 3.0}
 
 
+def test_many_synonyms_in_a_long_text(spark):
+    import time
+
+    text = "house, " * 60_000
+    docs = spark.createDataFrame([(1, text)], "id long, text string")
+    tags, lexicon = spark.createDataFrame([("house", "NN")], "word string, tag string"), spark.createDataFrame([("house", "n", "home")], "word string, pos string, synonym string")
+    started = time.time()
+    got = A.synonym_augment(docs, tags, lexicon, "id", most=6000).first()
+    assert got["text"].count("home, ") == got["n_replaced"] == 6000 and got["text"].replace("home", "house") == text
+    # looking through all replacements at each piece took longer
+    assert time.time() - started < 12
+
+
 def test_chat_layout(spark):
     df = spark.createDataFrame([("1+1?",)], "q string")
     row = df.select(C.chat_prompt(F.col("q"), "no_think").alias("p"), C.render_chat(C.chat_prompt(F.col("q"), "plain"), False).alias("r")).first()
