@@ -167,3 +167,17 @@ def test_only_touched_buckets_are_written_and_broken_runs_are_ignored(spark, tmp
     assert version == 3 and 3 not in written["postings"].values() and 3 not in written["locations"].values()
     kept = words_of(index)
     assert index.store.vacuum() > 0 and words_of(index) == kept and index.store.manifests().select("version").distinct().count() == 1
+
+
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    try:
+        rows = spark.range(400).selectExpr("CAST(id AS string) AS unit", "0 AS pos", "id AS chunk_id", "concat('common w', id) AS chunk_text", "CAST(NULL AS array<double>) AS vec", "'' AS scope", "CAST(NULL AS string) AS path")
+        index = SearchIndex(spark, str(tmp_path / "i"), 1)
+        index.write(rows)
+    finally:
+        spark.conf.set(key, before)
+    assert len(list((tmp_path / "i" / "chunks").rglob("*.parquet"))) > 1
+    assert {r.term: r.df for r in index.terms().collect()} == {"common": 400, **{f"w{i}": 1 for i in range(400)}}
