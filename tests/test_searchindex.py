@@ -181,3 +181,30 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.set(key, before)
     assert len(list((tmp_path / "i" / "chunks").rglob("*.parquet"))) > 1
     assert {r.term: r.df for r in index.terms().collect()} == {"common": 400, **{f"w{i}": 1 for i in range(400)}}
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_are_not_dealt_out_to_meet_the_asked_terms(spark, stored):
+    _, index = stored
+    (asked,) = index._asked(queries(spark).select("q_id", "q_text"))
+    cells, block = index._bounds(asked, 5, None)
+    met = plan(index._scores(cells, block, None))
+    assert "SortMergeJoin" not in met and "hashpartitioning(term" not in met
+    # what is dealt out: the names of the cells, the postings there that were asked for, and the queries that want a cell
+    assert met.count("hashpartitioning(bucket") == 3
+
+
+def test_texts_are_looked_up_where_they_lie(spark, stored, monkeypatch):
+    from tallyloom.operators import searchindex
+
+    _, index = stored
+    hits = index.keyword(queries(spark).select("q_id", "q_text"), 5)
+    near = index.with_texts(hits)
+    assert "Exchange hashpartitioning" not in plan(near)
+    monkeypatch.setattr(searchindex, "FEW_ROWS", 0)
+    far = index.with_texts(hits)
+    key = lambda r: (r.q_id, r["rank"], r.chunk_id, r.chunk_text)
+    assert sorted(map(key, near.collect())) == sorted(map(key, far.collect())) and near.count() == hits.count()
