@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.operators.retrieval import chunk, root_scopes, with_sha
-from tallyloom.operators.searchindex import SCHEMAS, SearchIndex
+from tallyloom.operators.searchindex import SCHEMAS, SearchIndex, few
 from tallyloom.operators.store import bucket_of
 from tallyloom.session import cut_lineage
 
@@ -20,6 +20,8 @@ MORE = {
     "locations": "path string, sha256 string, mtime long, root string",
     "roots": "root string, scope string",
 }
+#: New contents with their paths, and names of contents that go, that are sent to where the texts lie; were they more, the texts would be dealt out
+FEW_NEW, FEW_GONE = 1 << 19, 1 << 20
 
 
 class ContentIndex(SearchIndex):
@@ -65,17 +67,18 @@ class ContentIndex(SearchIndex):
         wanted = kept.select("sha256").distinct()
         have = store.read("contents")
         added = wanted.join(have, "sha256", "left_anti").select("sha256", bucket_of(F.col("sha256"), n).alias("bucket"))
-        gone = have.join(wanted, "sha256", "left_anti").select("sha256", "bucket")
+        gone = cut_lineage(have.join(wanted, "sha256", "left_anti").select("sha256", "bucket"))
         added = cut_lineage(added)
         touched = sorted({*numbers(added), *numbers(gone)})
         # one path stands for a content that is new: the least one
-        first = now.join(added, "sha256").groupBy("sha256").agg(F.min(F.struct("path", "scope", "mtime")).alias("f")).select("sha256", "f.*")
-        fresh = texts.select("path", "content").join(first, "path")
+        first = few(now.join(added, "sha256").groupBy("sha256").agg(F.min(F.struct("path", "scope", "mtime")).alias("f")).select("sha256", "f.*"), FEW_NEW)
+        fresh = files.select("path", "content").join(first, "path")
         pieces = chunk(fresh.select("sha256", "scope", "content"), self.size, self.overlap)
         made = pieces.select(
             F.col("sha256").alias("unit"), "pos", F.conv(F.substring(F.md5(F.concat_ws("/", "sha256", "pos").cast("binary")), 1, 15), 16, 10).cast("long").alias("chunk_id"),
             "chunk_text", F.lit(None).cast("array<double>").alias("vec"), "scope", F.lit(None).cast("string").alias("path"))
-        there = store.read("chunks", touched).join(gone.select(F.col("sha256").alias("unit")), "unit", "left_anti").select(*made.columns)
+        names = few(gone.select(F.unhex("sha256").alias("name")), FEW_GONE)
+        there = store.read("chunks", touched).join(names, F.unhex("unit") == F.col("name"), "left_anti").select(*made.columns)
         self.write_buckets(there.unionByName(made), version)
         stay = have.where(F.col("bucket").isin(touched)).join(gone.select("sha256"), "sha256", "left_anti").select("sha256", "scope", "mtime", "n_chunks", "bucket")
         counts = store.spark.read.schema(f"{SCHEMAS['chunks']}, bucket int").parquet(f"{store.folder}/chunks/written={version}").groupBy(F.col("unit").alias("sha256")).agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))

@@ -208,3 +208,21 @@ def test_texts_are_looked_up_where_they_lie(spark, stored, monkeypatch):
     far = index.with_texts(hits)
     key = lambda r: (r.q_id, r["rank"], r.chunk_id, r.chunk_text)
     assert sorted(map(key, near.collect())) == sorted(map(key, far.collect())) and near.count() == hits.count()
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_a_walk_deals_out_no_text_to_meet_few_names(spark, tmp_path, monkeypatch, most):
+    from tallyloom.operators import contentindex
+
+    if most is not None:
+        monkeypatch.setattr(contentindex, "FEW_NEW", most)
+        monkeypatch.setattr(contentindex, "FEW_GONE", most)
+    index = ContentIndex(spark, str(tmp_path), 4, 3, 1)
+    plans, write = [], index.write_buckets
+    monkeypatch.setattr(index, "write_buckets", lambda chunks, version: (plans.append(plan(chunks)), write(chunks, version)))
+    files = [(f"/a/{i}", f"text {i} of some", 1) for i in range(20)]
+    index.index(spark.createDataFrame(files, FILES), spark.createDataFrame([("/a", None)], "root string, scope string"))
+    index.reindex(spark.createDataFrame(files[:9] + [("/a/9", "a new one", 2)], FILES))
+    assert state(index) == {sha(t): (p, 1, None, 2 if " of " in t else 1) for p, t, _ in [*files[:9], ("/a/9", "a new one", 2)]}
+    assert words_of(index)["text"] == 9 and "12" not in words_of(index)
+    assert len(plans) == 2 and (most == 0 or not any("SortMergeJoin" in p for p in plans))
