@@ -89,28 +89,38 @@ def next_free(spans: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _first_gaps(asked: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-    """For the queries of some cells the first free time there, null if there is none; t of -NEVER asks for gaps that begin in the cell."""
+    """For the queries of some cells the first free time there, null if there is none; t of -NEVER asks for gaps that begin in the cell.
+
+    The gaps of all cells are one list, ordered by cell and time, so that many small cells cost no more than a large one.
+    """
     made = asked[["resource", RANGE, "q_id", "t", "d"]].assign(free_at=pd.array([pd.NA] * len(asked), dtype="Int64"))
     if not len(asked):
         return made
-    rows = {r.resource: r for r in cells.itertuples(index=False)}
-    answer = np.full(len(asked), NEVER, np.int64)
-    everyone = asked["resource"].to_numpy()
-    order = np.argsort(everyone, kind="stable")
-    cuts = np.flatnonzero(np.diff(everyone[order])) + 1
-    t_all, d_all = asked["t"].to_numpy(np.int64), asked["d"].to_numpy(np.int64)
-    for mine in np.split(order, cuts):
-        r = rows[everyone[mine[0]]]
-        starts, ends = (np.asarray([] if v is None else v, np.int64) for v in (r.s, r.e))
-        begin, until = np.r_[np.int64(r.before), ends], np.r_[starts, np.int64(r.after)]
-        t, d = t_all[mine], d_all[mine]
-        # the gap that runs at t, or the one behind the span that does
-        at = np.maximum(np.searchsorted(begin, t, "right") - 1, 0)
-        fits = (t > -NEVER) & (until[at] - np.maximum(t, begin[at]) >= d)
-        place = at
-        if not fits.all():
-            place = np.where(fits, at, first_at_least(until - begin, at + 1, d))
-        answer[mine] = np.where(place < len(begin), np.maximum(t, begin[np.minimum(place, len(begin) - 1)]), NEVER)
+    wanted, mine = np.unique(asked["resource"].to_numpy(), return_inverse=True)
+    cells = cells[cells["resource"].isin(wanted)].sort_values("resource")
+    starts, ends = ([np.asarray([] if v is None else v, np.int64) for v in cells[c]] for c in ("s", "e"))
+    sizes = np.fromiter(map(len, starts), np.int64, len(cells)) + 1
+    last = np.cumsum(sizes)
+    first = last - sizes
+    begin, until = np.empty(last[-1], np.int64), np.empty(last[-1], np.int64)
+    inside, ending = np.ones(last[-1], bool), np.ones(last[-1], bool)
+    inside[first] = ending[last - 1] = False
+    begin[first], until[last - 1] = cells["before"].to_numpy(np.int64), cells["after"].to_numpy(np.int64)
+    begin[inside], until[ending] = np.concatenate(ends), np.concatenate(starts)
+    t, d = asked["t"].to_numpy(np.int64), asked["d"].to_numpy(np.int64)
+    # gaps and queries in one order: a query comes behind the gaps of its cell that begin at its t or earlier
+    order = np.lexsort((np.r_[np.zeros(len(begin), np.int8), np.ones(len(t), np.int8)], np.r_[begin, t], np.r_[np.repeat(np.arange(len(cells)), sizes), mine]))
+    seen = np.cumsum(order < len(begin))
+    is_query = order >= len(begin)
+    behind = np.empty(len(t), np.int64)
+    behind[order[is_query] - len(begin)] = seen[is_query]
+    # the gap that runs at t, or the one behind the span that does
+    at = np.maximum(behind - 1, first[mine])
+    fits = (t > -NEVER) & (until[at] - np.maximum(t, begin[at]) >= d)
+    place = at
+    if not fits.all():
+        place = np.where(fits, at, first_at_least(until - begin, at + 1, d))
+    answer = np.where(place < last[mine], np.maximum(t, begin[np.minimum(place, len(begin) - 1)]), NEVER)
     made["free_at"] = pd.array(answer, dtype="Int64")
     made.loc[answer == NEVER, "free_at"] = pd.NA
     return made

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from tallyloom.operators import folds as D
 from tallyloom.operators import intervals as I
@@ -83,6 +84,23 @@ def test_next_free(spark):
     assert [got[i] for i in range(1000, 1005)] == [20, 40, 20, 25, 0]
 
 
+def test_many_small_cells_are_one_search(monkeypatch):
+    rng, trees = random.Random(11), []
+    search = I.first_at_least
+    monkeypatch.setattr(I, "first_at_least", lambda *a: trees.append(1) or search(*a))
+    spans = {k: sorted({rng.randint(0, 30) * 10 for _ in range(rng.randint(0, 4))}) for k in range(400)}
+    cells = pd.DataFrame([(k, [s for s in v] or None, [s + 9 for s in v] or None, -I.NEVER, I.NEVER if k % 2 else 305) for k, v in spans.items()], columns=["resource", "s", "e", "before", "after"])
+    asked = pd.DataFrame([(k, 0, 4 * k + i, rng.randint(-5, 320) if i else -I.NEVER, rng.randint(1, 40)) for k in range(0, 400, 3) for i in range(4)], columns=["resource", I.RANGE, "q_id", "t", "d"])
+    got = I._first_gaps(asked.sample(frac=1, random_state=1), cells.sample(frac=1, random_state=2))
+    assert len(got) == len(asked) and len(trees) == 1
+    for r in got.itertuples():
+        after = I.NEVER if r.resource % 2 else 305
+        gaps = list(zip([-I.NEVER] + [s + 9 for s in spans[r.resource]], spans[r.resource] + [after]))
+        free = next((max(r.t, b) for b, u in (gaps[1:] if r.t == -I.NEVER else gaps) if u - max(r.t, b) >= r.d), None)
+        # a query behind all gaps of its cell finds none there
+        assert (None if pd.isna(r.free_at) else r.free_at) == free, (r, gaps)
+
+
 def test_tree_of_longest_gaps():
     rng = np.random.default_rng(3)
     for n in (1, 2, 3, 7, 8, 9, 100):
