@@ -11,7 +11,7 @@ from tallyloom.operators.classification import confusion_counts
 from tallyloom.operators.corpus import word_counts
 from tallyloom.plans.registry import query
 from tallyloom.plans.tables import Tables
-from tallyloom.session import scratch_dir
+from tallyloom.session import bounded_batches, scratch_dir
 
 VOCAB, SMALL_VOCAB = 180, 140
 
@@ -37,8 +37,10 @@ def _(t: Tables):
 
 @query("encode")
 def _(t: Tables):
-    ids = t.documents.select("doc_id", V.encode(F.col("text"), _vocab(t)).alias("ids"))
-    return ids.select("doc_id", F.size("ids").alias("n_ids"), F.array_min("ids").alias("low"), F.array_max("ids").alias("high"))
+    # the vocabulary is trained here, not taken from what another query has trained
+    bounded_batches(t.spark)
+    ids = t.documents.select("doc_id", V.encode(F.col("text"), V.train_bpe(t.documents, VOCAB)).alias("ids"))
+    return ids.select("doc_id", F.size("ids").alias("n_ids"), F.array_min("ids").alias("low"), F.array_max("ids").alias("high"), "ids")
 
 
 # decoding gives the text back apart from blanks

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyloom.operators import bpe as V
+from tallyloom.plans import learned
 from tests.test_text import learn_plainly, merged
 
 MERGES = [("a", "b"), ("b", "c"), ("ab", "c"), ("c", "a"), ("ca", "ab"), ("a", "a"), ("aa", "a"), ("abc", "aa"), ("a", "bc"), ("aa", "aa"), (" ", "a"), (" a", "b"), ("!", "a"), ("!", "!")]
@@ -79,3 +81,23 @@ def test_a_round_of_training_is_one_job(spark, monkeypatch):
     assert (vocab.tokens, vocab.merges) == learn_plainly(texts, 60, V.SPECIALS)
     # only the words are written, every few rounds: the table of pairs was written in each
     assert set(stored) == {"words"} and len(stored) <= 1 + len(rounds) // 3
+
+
+def test_encode_trains_and_gives_the_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(learned, "VOCAB", 22)
+    texts = ["banana", "the hen", "then ananas ban", "", None, "nab the banana"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    trained = []
+    monkeypatch.setattr(V, "train_bpe", lambda *a, keep=V.train_bpe, **k: trained.append(1) or keep(*a, **k))
+    entry.queries()["roundtrip_audit_trained"](spark, str(tmp_path))
+    got = {r["doc_id"]: r for r in entry.queries()["encode"](spark, str(tmp_path)).collect()}
+    # it took the vocabulary that the audit had trained
+    assert len(trained) == 2
+    tokens, merges = learn_plainly([t for t in texts if t], 22, V.SPECIALS)
+    assert merges and len(got) == len(texts)
+    for i, text in enumerate(texts):
+        ids = None if text is None else [tokens[p] for p in merged(text, merges)]
+        # the ids themselves were left out
+        assert got[i]["ids"] == ids
+        if ids:
+            assert (got[i]["n_ids"], got[i]["low"], got[i]["high"]) == (len(ids), min(ids), max(ids))
